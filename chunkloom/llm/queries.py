@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .language import op8_language
 from .sharding import op6_sharding
 from .urls import op5_url_filter
 
 QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
+    "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
