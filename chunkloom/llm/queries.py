@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .language import op8_language
 from .sharding import op6_sharding
+from .simhash import op1_simhash
 from .urls import op5_url_filter
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op8_language": op8_language,
