@@ -7,9 +7,11 @@ from .language import op8_language
 from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .urls import op5_url_filter
+from .vectors import op4_embedding_near_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op8_language": op8_language,
