@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .language import op8_language
+from .phrases import op2_lz_fingerprint
 from .sharding import op6_sharding
 from .simhash import op1_simhash
 from .urls import op5_url_filter
@@ -11,6 +12,7 @@ from .vectors import op4_embedding_near_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lz_fingerprint": op2_lz_fingerprint,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
