@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .language import op8_language
+from .mixing import op7_mixing
 from .phrases import op2_lz_fingerprint
 from .sharding import op6_sharding
 from .simhash import op1_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
