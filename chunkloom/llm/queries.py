@@ -8,6 +8,7 @@ from .mixing import op7_mixing
 from .phrases import op2_lz_fingerprint
 from .sharding import op6_sharding
 from .simhash import op1_simhash
+from .toolcalls import OP10_SQL, op10_tool_calls
 from .urls import op5_url_filter
 from .vectors import op4_embedding_near_dedup
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_tool_calls": op10_tool_calls,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_tool_calls": OP10_SQL}
