@@ -8,6 +8,7 @@ from .mixing import op7_mixing
 from .phrases import op2_lz_fingerprint
 from .sharding import op6_sharding
 from .simhash import op1_simhash
+from .substrings import op3_substring_dedup
 from .toolcalls import OP10_SQL, op10_tool_calls
 from .urls import op5_url_filter
 from .vectors import op4_embedding_near_dedup
@@ -15,6 +16,7 @@ from .vectors import op4_embedding_near_dedup
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lz_fingerprint": op2_lz_fingerprint,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
