@@ -275,6 +275,8 @@ def chunk_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.reorder_chunks(t, list(reversed(range(k))))
 
 
+#: The middle chunk.
+_AT = "(SELECT (max(event_id // 1000) + 1) // 2 FROM events)"
 _NEW_CHUNK = "SELECT {at}::BIGINT AS nchunk, i::BIGINT AS event_id, (i * 0.5)::DOUBLE AS value FROM unnest(range(0, 1000)) t(i)"
 
 
@@ -284,22 +286,22 @@ def _event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return t, new, t.agg(F.max("nchunk") + 1).first()[0]
 
 
-@query("SELECT event_id // 1000 + CASE WHEN event_id // 1000 >= 2 THEN 1 ELSE 0 END AS nchunk, event_id, value FROM events UNION ALL " + _NEW_CHUNK.format(at=2))
+@query(f"SELECT event_id // 1000 + CASE WHEN event_id // 1000 >= {_AT} THEN 1 ELSE 0 END AS nchunk, event_id, value FROM events UNION ALL " + _NEW_CHUNK.format(at=_AT))
 def chunk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, new, k = _event_rows(spark, sf_dir)
-    return chunks.insert_chunk(t, new, 2, k)
+    return chunks.insert_chunk(t, new, k // 2, k)
 
 
-@query("SELECT event_id // 1000 - CASE WHEN event_id // 1000 > 2 THEN 1 ELSE 0 END AS nchunk, event_id, value FROM events WHERE event_id // 1000 <> 2")
+@query(f"SELECT event_id // 1000 - CASE WHEN event_id // 1000 > {_AT} THEN 1 ELSE 0 END AS nchunk, event_id, value FROM events WHERE event_id // 1000 <> {_AT}")
 def chunk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _, k = _event_rows(spark, sf_dir)
-    return chunks.delete_chunk(t, 2, k)
+    return chunks.delete_chunk(t, k // 2, k)
 
 
-@query("SELECT event_id // 1000 AS nchunk, event_id, value FROM events WHERE event_id // 1000 <> 2 UNION ALL " + _NEW_CHUNK.format(at=2))
+@query(f"SELECT event_id // 1000 AS nchunk, event_id, value FROM events WHERE event_id // 1000 <> {_AT} UNION ALL " + _NEW_CHUNK.format(at=_AT))
 def chunk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, new, _ = _event_rows(spark, sf_dir)
-    return chunks.update_chunk(t, new, 2)
+    t, new, k = _event_rows(spark, sf_dir)
+    return chunks.update_chunk(t, new, k // 2)
 
 
 @query("SELECT event_id // 1000 AS nchunk, event_id, value FROM events UNION ALL " + _NEW_CHUNK.format(at="(SELECT max(event_id // 1000) + 1 FROM events)"))
