@@ -8,6 +8,7 @@ is never seen; growth adds cells and then publishes the new shape. All access go
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..array import ChunkedArray
-from ..errors import InvalidParam, MetalayerNotFound, StaleSchema, StoreExists
+from ..errors import ChunkloomError, InvalidParam, MetalayerNotFound, StaleSchema, StoreExists
 from ..functions import geometry
 from ..spec import ArraySpec
 
@@ -48,6 +49,32 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise InvalidParam(f"cannot rename {old}")
 
 
+class StoreLock:
+    """Exclusive use of a store by one writer, over several operations: ``with StoreLock(spark, path): ...``.
+
+    The lock is a file that only one caller can create; whoever waits tries again until ``wait_s`` has passed. Readers need no
+    lock. It may be entered again by its holder."""
+
+    def __init__(self, spark: SparkSession, path: str, wait_s: float = 60.0):
+        self.spark, self.path, self.wait_s, self.depth = spark, f"{path}.lock", wait_s, 0
+
+    def __enter__(self) -> StoreLock:
+        if not self.depth:
+            fs, p = _fs(self.spark, self.path)
+            until = time.monotonic() + self.wait_s
+            while not fs.createNewFile(p):
+                if time.monotonic() >= until:
+                    raise ChunkloomError(f"{self.path} is held by another writer")
+                time.sleep(0.05)
+        self.depth += 1
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.depth -= 1
+        if not self.depth:
+            remove(self.spark, self.path)
+
+
 def per_group(spec: ArraySpec) -> int:
     return max(1, CELLS_PER_GROUP // max(1, math.prod(spec.chunkshape)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chunkloom import config
 from chunkloom.array import ChunkedArray
-from chunkloom.errors import InvalidParam, MetalayerNotFound, StaleSchema, StoreExists
+from chunkloom.errors import ChunkloomError, InvalidParam, MetalayerNotFound, StaleSchema, StoreExists
 from chunkloom.operators import select
 from chunkloom.sources import codecs, datasource, store
 from chunkloom.spec import ArraySpec
@@ -64,6 +64,17 @@ def test_layers(spark, tmp_path):
     assert store.get_layer(spark, path, "a") == b"xy"
 
 
+def test_lock(spark, tmp_path):
+    path = str(tmp_path / "s")
+    mine, other = store.StoreLock(spark, path), store.StoreLock(spark, path, wait_s=0.1)
+    with mine, mine:
+        with pytest.raises(ChunkloomError):
+            other.__enter__()
+    with other:
+        assert store.exists(spark, path + ".lock")
+    assert not store.exists(spark, path + ".lock")
+
+
 @pytest.mark.parametrize("name", ["none", "zlib", "zstd", "lz4"])
 def test_codecs(spark, name):
     rows = [(0, [1.5, 2.5, -3.0]), (1, [0.0] * 50), (2, [7.0] * 9), (3, [float(i % 3) for i in range(1000)])]
