@@ -11,7 +11,7 @@ from .simhash import op1_simhash
 from .substrings import op3_substring_dedup
 from .toolcalls import OP10_SQL, op10_tool_calls
 from .urls import op5_url_filter
-from .vectors import op4_embedding_near_dedup
+from .vectors import OP4_SQL, op4_embedding_near_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_tool_calls": op10_tool_calls,
 }
-ORACLE_SQL = {"op10_tool_calls": OP10_SQL}
+ORACLE_SQL = {"op4_embedding_near_dedup": OP4_SQL, "op10_tool_calls": OP10_SQL}
