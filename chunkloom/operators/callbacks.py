@@ -7,9 +7,10 @@ block numbers of their cells.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..array import ChunkedArray
@@ -25,7 +26,7 @@ def map_cells(array: ChunkedArray, function: Callable[..., Column], dtype: str |
     value = function(value=F.col("value"), nchunk=F.col("nchunk"), nblock=F.col("nblock"), **{d: F.col(d) for d in array.dims})
     kind = SPARK_TYPES[dtype] if dtype else dict(array.df.dtypes)["value"]
     out = cells.select(*array.dims, value.cast(kind).alias("value"))
-    return ChunkedArray(out, array.spec if dtype is None else type(array.spec)(array.spec.shape, array.spec.chunkshape, array.spec.blockshape, dtype), dict(array.meta), dict(array.vlmeta))
+    return array.with_cells(out, replace(array.spec, dtype=dtype or array.spec.dtype), True)
 
 
 def combine(arrays: list[ChunkedArray], function: Callable[..., Column]) -> ChunkedArray:
@@ -52,7 +53,7 @@ def map_batches(array: ChunkedArray, function: Callable[[pa.RecordBatch], pa.Arr
             yield pa.RecordBatch.from_arrays([*b.columns[:keep], value.cast(kind)], names=[*b.schema.names[:keep], "value"])
 
     out = cells.mapInArrow(run, ", ".join([*(f"{d} long" for d in array.dims), f"value {SPARK_TYPES[dtype]}"]))
-    return ChunkedArray(out, type(array.spec)(array.spec.shape, array.spec.chunkshape, array.spec.blockshape, dtype), dict(array.meta), dict(array.vlmeta))
+    return array.with_cells(out, replace(array.spec, dtype=dtype), True)
 
 
 def register(name: str, function: Callable[[ChunkedArray], ChunkedArray]) -> None:
@@ -65,7 +66,3 @@ def apply(name: str, array: ChunkedArray) -> ChunkedArray:
     if name not in _NAMED:
         raise InvalidParam(f"no function {name!r}")
     return _NAMED[name](array)
-
-
-def chunk_sum_of(df: DataFrame, value: Column) -> DataFrame:
-    return df.groupBy("nchunk").agg(F.sum(value).alias("total"))

@@ -6,7 +6,6 @@ precision filters). Windows never go beyond a chunk, so chunks are the unit of p
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -143,22 +142,13 @@ def cell_order(array: ChunkedArray, side: int) -> DataFrame:
     return array.addressed().withColumns({"cell": cell_number(array, side), "in_cell": in_cell, "position": position})
 
 
-def from_cell_order(array: ChunkedArray, ordered: DataFrame) -> ChunkedArray:
-    """The inverse of ``cell_order``: (nchunk, nblock, position, value) back to cells, by the same arithmetic from the array's geometry."""
+def from_cell_order(array: ChunkedArray, ordered: DataFrame, side: int) -> ChunkedArray:
+    """The inverse of ``cell_order``: (nchunk, nblock, position, value) back to the cells of ``array``'s geometry, by the same arithmetic."""
     places = ordered.select("nchunk", "nblock", "position", F.col("value").alias("_moved"))
-    spots = cell_order(array, _side(ordered)).select(*array.dims, "nchunk", "nblock", "position") if _side(ordered) else array.addressed()
+    spots = cell_order(array, side).select(*array.dims, "nchunk", "nblock", "position")
     return array.with_cells(spots.join(places, ["nchunk", "nblock", "position"]).select(*array.dims, F.col("_moved").alias("value")), None, True)
 
 
-def _side(df: DataFrame) -> int:
-    return int(df.schema["position"].metadata.get("side", 0))
-
-
-def with_side(ordered: DataFrame, side: int) -> DataFrame:
-    """Note the cell's side on the position column, so that the inverse knows it."""
-    return ordered.withColumn("position", F.col("position").alias("position", metadata={"side": side}))
-
-
 def cell_mean(array: ChunkedArray, side: int, include_padding: bool = False) -> DataFrame:
     """(nchunk, nblock, cell, mean, n): the mean of every cell, cut at the block's edge, in double precision.
 
@@ -242,12 +232,3 @@ def register(new: Stage) -> None:
     if new.name in _REGISTERED or new.name in ("none", "delta", "shuffle", "bitshuffle", "bytedelta", "trunc_prec", "int_trunc"):
         raise InvalidParam(f"{new.name!r} is taken")
     _REGISTERED[new.name] = new
-
-
-def itemsize_of(spec_bytes: int) -> int:
-    """Items of more than 255 bytes are handled as bytes."""
-    return spec_bytes if spec_bytes <= 255 else 1
-
-
-def padded_items(shape: Sequence[int]) -> int:
-    return math.prod(shape)

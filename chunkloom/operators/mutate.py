@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..array import ChunkedArray
 from ..errors import ChunkError, InvalidIndex, InvalidParam
-from ..functions import geometry
 from ..spec import SPARK_TYPES, ArraySpec
 from . import select
 
@@ -130,7 +128,7 @@ def outer_set(array: ChunkedArray, selection: Sequence[Sequence[int]], values: C
 
 
 def copy_as(array: ChunkedArray, dtype: str) -> ChunkedArray:
-    return ChunkedArray(array.df.withColumn("value", F.col("value").cast(SPARK_TYPES[dtype])), replace(array.spec, dtype=dtype), dict(array.meta), dict(array.vlmeta))
+    return array.map_value(F.col("value").cast(SPARK_TYPES[dtype]), dtype)
 
 
 def last_writer(patches: DataFrame, coords: Sequence[str], order: str) -> DataFrame:
@@ -146,6 +144,3 @@ def flat_patch(array: ChunkedArray, start: int, values: Sequence[object]) -> Chu
     spark = array.df.sparkSession
     df = spark.createDataFrame([(start + i, v) for i, v in enumerate(values)], f"d0 long, value {SPARK_TYPES[array.spec.dtype]}")
     return patch(array, F.broadcast(df) if len(values) <= select.BROADCAST_ROWS else df)
-
-
-__all__ = ["append", "concatenate", "copy_as", "delete", "flat_patch", "geometry", "insert", "last_writer", "outer_set", "patch", "resize", "set_slice"]

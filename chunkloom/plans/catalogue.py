@@ -432,7 +432,7 @@ def ndcell_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CELLS} SELECT d0, d1, value FROM cells")
 def ndcell_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = embeddings(spark, sf_dir)
-    return _doubles(filters.from_cell_order(a, filters.with_side(filters.cell_order(a, 3), 3)).cells())
+    return _doubles(filters.from_cell_order(a, filters.cell_order(a, 3), 3).cells())
 
 
 @query(f"WITH {_CELLS}, {_CELL} SELECT nchunk, nblock, a0 * 3 + a1 AS cell, round(sum(value) / count(*), 9) AS mean, count(*) AS n FROM k2 GROUP BY 1, 2, 3")
