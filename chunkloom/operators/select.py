@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,21 @@ BROADCAST_ROWS = 100_000
 MOST_LISTED = 512
 
 
+def prune_to(array: ChunkedArray, first: int, last: int, listed: Sequence[int] | None = None) -> DataFrame:
+    """The stored chunks from ``first`` to ``last``, or those listed: predicates on the partition column and on the sorted chunk number."""
+    if "nchunk" not in array.df.columns:
+        return array.df
+    df, per = array.df, array.meta.get("_chunks_per_group")
+    if "chunk_group" in df.columns and per:
+        df = df.where(F.col("chunk_group").between(first // int(per), last // int(per)))
+        if listed is not None:
+            df = df.where(F.col("chunk_group").isin(sorted({n // int(per) for n in listed})))
+    df = df.where(F.col("nchunk").between(first, last))
+    return df if listed is None else df.where(F.col("nchunk").isin(sorted(listed)))
+
+
 def prune(array: ChunkedArray, start: Sequence[int], stop: Sequence[int]) -> DataFrame:
-    """The stored chunks a region touches: predicates on the partition column and on the sorted chunk number."""
+    """The stored chunks a region touches."""
     if "nchunk" not in array.df.columns:
         return array.df
     box = array.spec.chunk_box(start, stop)
@@ -30,14 +44,18 @@ def prune(array: ChunkedArray, start: Sequence[int], stop: Sequence[int]) -> Dat
         return array.df.where(F.lit(False))
     grid = row_major(array.spec.chunk_grid)
     first, last = (sum(x * s for x, s in zip(at, grid, strict=True)) for at in ([a for a, _ in box], [b - 1 for _, b in box]))
-    df = array.df.where(F.col("nchunk").between(first, last))
-    if "chunk_group" in df.columns:
-        per = array.meta.get("_chunks_per_group")
-        if per:
-            df = df.where(F.col("chunk_group").between(first // int(per), last // int(per)))
-    if count <= MOST_LISTED and count < last - first + 1:
-        df = df.where(F.col("nchunk").isin(list(array.spec.slice_chunks(start, stop))))
-    return df
+    return prune_to(array, first, last, list(array.spec.slice_chunks(start, stop)) if count <= MOST_LISTED and count < last - first + 1 else None)
+
+
+def prune_outer(array: ChunkedArray, selection: Sequence[Sequence[int]]) -> DataFrame:
+    """The stored chunks an outer selection touches: the listed ones if they are few, else their range."""
+    parts = [sorted({x // c for x in wanted}) for wanted, c in zip(selection, array.spec.chunkshape, strict=True)]
+    if not all(parts):
+        return array.df.where(F.lit(False))
+    grid = row_major(array.spec.chunk_grid)
+    number = lambda at: sum(x * s for x, s in zip(at, grid, strict=True))
+    few = math.prod(map(len, parts)) <= MOST_LISTED
+    return prune_to(array, number([p[0] for p in parts]), number([p[-1] for p in parts]), [number(at) for at in product(*parts)] if few else None)
 
 
 def _inside(start: Sequence[int], stop: Sequence[int]) -> Column:
@@ -78,7 +96,7 @@ def take(array: ChunkedArray, coords: DataFrame | Sequence[int]) -> DataFrame:
     """
     if array.spec.ndim == 0:
         raise InvalidParam("a gather needs a dimension")
-    n = array.spec.nitems
+    n, source = array.spec.nitems, array.df
     if isinstance(coords, DataFrame):
         at = F.col("flat_idx").cast("long")
         message = F.concat(at.cast("string"), F.lit(f" is not in an array of {n} items"))
@@ -87,7 +105,10 @@ def take(array: ChunkedArray, coords: DataFrame | Sequence[int]) -> DataFrame:
         if bad := [x for x in coords if not 0 <= x < n]:
             raise InvalidIndex(f"{bad[0]} is not in an array of {n} items")
         wanted = _given(array, coords, "flat_idx").withColumnRenamed("pos_flat_idx", "pos")
-    cells = array.cells().select(geometry.flat_index(array.spec).alias("flat_idx"), "value")
+        if "nchunk" in array.df.columns and len(coords):
+            touched = {array.spec.address(array.spec.to_multidim(x))[0] for x in coords}
+            source = prune_to(array, min(touched), max(touched), sorted(touched) if len(touched) <= MOST_LISTED else None)
+    cells = source.select(geometry.flat_index(array.spec).alias("flat_idx"), "value")
     return wanted.join(cells, "flat_idx", "left").select("pos", "flat_idx", "value")
 
 
@@ -100,7 +121,7 @@ def outer_index(array: ChunkedArray, selection: Sequence[Sequence[int]]) -> Chun
             raise InvalidIndex(f"{bad[0]} is not in dimension {i} of length {n}")
     low = [min(s, default=0) for s in selection]
     high = [max(s, default=-1) + 1 for s in selection]
-    df = prune(array, low, high).where(_inside(low, high)) if all(selection) else array.df.where(F.lit(False))
+    df = prune_outer(array, selection).where(_inside(low, high))
     for i, wanted in enumerate(selection):
         df = df.join(_given(array, wanted, f"d{i}"), f"d{i}")
     df = df.select(*(F.col(f"pos_d{i}").alias(f"d{i}") for i in range(array.spec.ndim)), "value")

@@ -31,6 +31,10 @@ def test_store(spark, tmp_path, monkeypatch):
     assert part.to_numpy().tolist() == np.arange(200.0).reshape(20, 10)[5:10, :5].tolist()
     plan = part.df._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(chunk_group" in plan
+    far = select.take(b, [199, 0, 199])
+    assert [r["value"] for r in far.orderBy("pos").collect()] == [199.0, 0.0, 199.0] and "nchunk" in far._jdf.queryExecution().toString().split("PushedFilters")[1]
+    outer = select.outer_index(b, [[19, 0], [9, 9, 0]])
+    assert outer.to_numpy().tolist() == [[199, 199, 190], [9, 9, 0]] and "chunk_group" in outer.df._jdf.queryExecution().toString().split("PartitionFilters")[1][:80]
     store.save_append(ramp(spark, (3,), (3,)), path, "other")
     assert store.open_array(spark, path, "other").to_rows() == [0, 1, 2]
     assert store.append_cells(spark, path, ramp(spark, (2, 10), (5, 5)), 0) == 2
