@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..array import ChunkedArray
 from ..errors import ChunkError, InvalidIndex, InvalidParam
+from ..functions import geometry
 from ..spec import SPARK_TYPES, ArraySpec
 from . import select
 
@@ -83,16 +84,19 @@ def resize(array: ChunkedArray, shape: Sequence[int], start: Sequence[int] | Non
         if start is not None and m > n and start[i] < n:
             d = f"d{i}"
             moved = moved.withColumn(d, F.when(F.col(d) >= start[i], F.col(d) + (m - n)).otherwise(F.col(d)))
-    # Only the new cells are generated: position is new in some dimension. The old ones are not joined.
-    new_spec = s.with_shape(grown)
-    fresh = ChunkedArray.fill(array.df.sparkSession, new_spec, pad)
-    outside = F.lit(False)
+    # Only the new cells are generated, slab by slab: new in dimension i, old in those before it, any in those after it. Nothing is joined.
+    new_spec, out = s.with_shape(grown), moved
     for i, (n, m) in enumerate(zip(s.shape, grown, strict=True)):
         if m > n:
-            first = n if start is None else min(start[i], n)
-            outside = outside | F.col(f"d{i}").between(first, first + m - n - 1)
-    fill = fresh.df.where(outside).withColumn("value", F.lit(pad).cast(SPARK_TYPES[s.dtype]))
-    return array.with_cells(moved.unionByName(fill.select(*array.dims, "value")), new_spec, True)
+            slab = ArraySpec(tuple(s.shape[j] if j < i else m - n if j == i else grown[j] for j in range(s.ndim)))
+            coords = geometry.from_flat(slab, F.col("id"))
+            for j in range(i):
+                if grown[j] > s.shape[j] and start is not None and start[j] < s.shape[j]:
+                    coords[j] = F.when(coords[j] >= start[j], coords[j] + (grown[j] - s.shape[j])).otherwise(coords[j])
+            coords[i] = coords[i] + (n if start is None else min(start[i], n))
+            fresh = array.df.sparkSession.range(slab.nitems).select(*(c.cast("long").alias(d) for c, d in zip(coords, array.dims, strict=True)), F.lit(pad).cast(SPARK_TYPES[s.dtype]).alias("value"))
+            out = out.unionByName(fresh)
+    return array.with_cells(out, new_spec, True)
 
 
 def patch(array: ChunkedArray, cells: DataFrame) -> ChunkedArray:
