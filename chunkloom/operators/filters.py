@@ -6,6 +6,7 @@ precision filters). Windows never go beyond a chunk, so chunks are the unit of p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..array import ChunkedArray
 from ..errors import InvalidParam
 from ..functions import bits, geometry
-from ..spec import row_major
+from ..spec import ArraySpec, row_major
 
 MOST_FILTERS = 6
 
@@ -143,10 +144,26 @@ def cell_order(array: ChunkedArray, side: int) -> DataFrame:
 
 
 def from_cell_order(array: ChunkedArray, ordered: DataFrame, side: int) -> ChunkedArray:
-    """The inverse of ``cell_order``: (nchunk, nblock, position, value) back to the cells of ``array``'s geometry, by the same arithmetic."""
-    places = ordered.select("nchunk", "nblock", "position", F.col("value").alias("_moved"))
-    spots = cell_order(array, side).select(*array.dims, "nchunk", "nblock", "position")
-    return array.with_cells(spots.join(places, ["nchunk", "nblock", "position"]).select(*array.dims, F.col("_moved").alias("value")), None, True)
+    """The inverse of ``cell_order``: (nchunk, nblock, position, value) back to the cells of ``array``'s geometry. The coordinates
+    follow from the position, so nothing is joined."""
+    s = array.spec
+    whole = lambda a, b: F.call_function("div", a, b)
+    rest, cells, lengths = F.col("position").cast("long"), [], []
+    for k, b in enumerate(s.blockshape):
+        unit = F.lit(side * math.prod(s.blockshape[k + 1 :])).cast("long")
+        for before in lengths:
+            unit = unit * before
+        c = whole(rest, unit)
+        rest = rest - c * unit
+        cells.append(c)
+        lengths.append(F.least(F.lit(side).cast("long"), F.lit(b).cast("long") - c * side))
+    inside = [F.lit(0)] * s.ndim
+    for k in reversed(range(s.ndim)):
+        inside[k] = cells[k] * side + rest % lengths[k]
+        rest = whole(rest, lengths[k])
+    of_chunk, of_block = geometry.from_flat(ArraySpec(s.chunk_grid), F.col("nchunk")), geometry.from_flat(ArraySpec(s.block_grid), F.col("nblock"))
+    coords = [c * F.lit(m).cast("long") + b * F.lit(n).cast("long") + i for c, m, b, n, i in zip(of_chunk, s.chunkshape, of_block, s.blockshape, inside, strict=True)]
+    return array.with_cells(ordered.select(*(c.cast("long").alias(d) for c, d in zip(coords, array.dims, strict=True)), "value"), None, True)
 
 
 def cell_mean(array: ChunkedArray, side: int, include_padding: bool = False) -> DataFrame:
