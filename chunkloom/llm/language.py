@@ -2,7 +2,8 @@
 
 Each language's dictionary is raw content for zstandard: normalised pieces (lower case, runs of non-letters made one
 space) of labelled documents. A whole text is normalised likewise, cut in blocks, and every block compressed with every
-dictionary; the language with the smallest sum is chosen, and the choice is rejected when the next one comes close.
+dictionary (short texts with parts of them); the language with the smallest sum is chosen, and the choice is rejected when
+the next one comes close.
 
 The dictionaries are learned from a bounded sample: ``PIECES`` pieces of at most ``PIECE_BYTES`` bytes of each language,
 those with the smallest seeded hash of (doc_id, piece) among distinct rows; at most ``MOST_LANGUAGES`` languages. So what
@@ -25,6 +26,8 @@ LEVEL, MIN_MATCH, BLOCK = 3, 3, 4096
 #: A choice is rejected when the next language's size is within this share.
 MARGIN = 0.002
 SHARPNESS = 16
+#: Texts of at most SHORT bytes are compressed with this many parts of each dictionary.
+SHORT, SHORT_PARTS = 256, 8
 _SEED = 99
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -62,28 +65,36 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: b"\n".join(t for _, _, t in sorted(found)[:PIECES][::-1]) for lang, found in pieces.items()}
 
 
+def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, source_size=BLOCK, dict_size=len(raw), min_match=MIN_MATCH, strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False
+    )
+    if len(raw) < 8:  # the library takes no shorter dictionary
+        return zstandard.ZstdCompressor(compression_params=params)
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=d)
+
+
 class Compressors:
-    """One compressor for each language, ready in a worker process."""
+    """The compressors of a worker process. Sizes are whole bytes and differ little for short texts, so these are compressed
+    with each of ``SHORT_PARTS`` parts of a language's dictionary, and the sizes added."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.by_lang = {}
+        self.whole = {lang: [_compressor(raw)] for lang, raw in dictionaries.items()}
+        self.parts = {}
         for lang, raw in dictionaries.items():
-            params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=BLOCK, dict_size=len(raw), min_match=MIN_MATCH, strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False
-            )
-            if len(raw) < 8:  # the library takes no shorter dictionary
-                self.by_lang[lang] = zstandard.ZstdCompressor(compression_params=params)
-                continue
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.by_lang[lang] = zstandard.ZstdCompressor(compression_params=params, dict_data=d)
+            pieces = raw.split(b"\n")
+            n = -(-len(pieces) // SHORT_PARTS)
+            self.parts[lang] = [_compressor(b"\n".join(pieces[i * n : (i + 1) * n])) for i in range(SHORT_PARTS)]
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); ``und`` with zeros for null, for a text without a letter, or where nothing was learned."""
-        if text is None or not self.by_lang or not any(map(str.isalpha, text)):
+        if text is None or not self.whole or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         raw = normalise(text)
-        sizes = {lang: sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for lang, c in self.by_lang.items()}
+        used = self.parts if len(raw) <= SHORT else self.whole
+        sizes = {lang: sum(len(c.compress(raw[i : i + BLOCK])) for c in own for i in range(0, len(raw), BLOCK)) for lang, own in used.items()}
         ordered = sorted(sizes.items(), key=lambda x: x[1])
         best, least = ordered[0]
         margin = 1 - least / ordered[1][1] if len(ordered) > 1 else 1.0
