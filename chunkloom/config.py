@@ -12,8 +12,8 @@ from . import __version__
 from .errors import InvalidParam
 
 # Names and numbers of codecs, and the codec Parquet uses for each.
-CODECS = {"blosclz": 0, "lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
-PARQUET_CODECS = {"blosclz": "snappy", "lz4": "lz4_raw", "lz4hc": "lz4_raw", "zlib": "gzip", "zstd": "zstd"}
+CODECS = {"snappy": 0, "lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
+PARQUET_CODECS = {"snappy": "snappy", "lz4": "lz4_raw", "lz4hc": "lz4_raw", "zlib": "gzip", "zstd": "zstd"}
 # Numbers of filters.
 FILTERS = {"none": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3, "trunc_prec": 4, "ndcell": 32, "ndmean": 33, "bytedelta": 35, "int_trunc": 36}
 
@@ -22,7 +22,7 @@ FILTERS = {"none": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3, "trunc_prec": 4
 class WriteOptions:
     """How arrays are encoded."""
 
-    codec: str = "blosclz"
+    codec: str = "snappy"
     level: int = 5
     itemsize: int = 8
     filters: tuple[str, ...] = ("shuffle",)
