@@ -13,11 +13,12 @@ successor is always the next row.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, read_table
@@ -101,6 +102,17 @@ def _with_next(rows: Iterator[tuple]) -> Iterator[tuple]:
             held = None if last else (doc_id, text[:half], len(text), known_half, at_half, mine)
 
 
+def _below(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are x or less: among every m-th of them first, then among the m that follow, m being the
+    root of their number."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts)) + 1
+    count = lambda values: F.size(F.filter(values, lambda c: c <= x))
+    first = count(F.lit(cuts[::m])) - 1
+    return F.when(first < 0, 0).otherwise(first * m + count(F.slice(F.lit(cuts), first * m + 1, F.lit(m))))
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row, as op2 has them.
 
@@ -111,9 +123,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 8 * parts
     cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range", below.cast("int"))
+    rows = rows.withColumn("range", _below(F.col("place"), sorted(set(cuts or []))).cast("int"))
     firsts = {r["range"]: r["p"] for r in rows.groupBy("range").agg(F.min("place").alias("p")).collect()}  # a row for each range
     order = sorted(firsts)
     before = dict(zip(order[1:] + order[:1], order, strict=True))

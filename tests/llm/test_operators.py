@@ -181,6 +181,14 @@ def test_likeness():
     assert phrases.likeness(sig(a), sig(mixed)) > phrases.likeness(sig(a), sig(b))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 50])
+def test_ranges(spark, n):
+    rng = random.Random(n)
+    cuts = sorted(rng.sample(range(-60, 60), n))
+    got = spark.range(-70, 70).select("id", phrases._below(F.col("id"), cuts).alias("k")).collect()
+    assert all(r["k"] == sum(c <= r["id"] for c in cuts) for r in got)
+
+
 def test_compare_with_next(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i * 7 % 101 - 50, prose(rng, rng.choice([0, 1, 5, 60])), "en", "s") for i in range(101)]
