@@ -27,7 +27,7 @@ from .common import map_rows, read_table
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MOST_FILE_BYTES = 64 << 20
 #: Entries of the two caches of a worker process; a full cache is emptied, which costs time only.
-MOST_WORDS, MOST_PAIRS, LONGEST_CACHED = 400_000, 2_000_000, 64
+MOST_WORDS, MOST_PAIRS, LONGEST_CACHED = 200_000, 400_000, 64
 
 
 def byte_symbols() -> list[str]:
