@@ -1,0 +1,228 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact join, without a sketch.
+
+Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of each, whatever the common order of all
+shingles (prefix filter). The order here is by hash, with shingles that very many documents hold (``hot_shingles``) last, so
+that common lines make no candidates. Documents that share a shingle of their prefixes, and that their sizes and the places
+of the shingle do not rule out, are candidates; bitmaps of the sets rule out most of the others, and the whole sets of the rest are compared. Of more than ``MANY`` documents with the
+same shingle, neighbours by size are compared first, and then all that are not yet linked, also by way of others: a group of n
+near copies needs no n^2 comparisons.
+
+Scale: a fifth of the shingles is written once and shuffled once, as (hash, size, set, place); sets are made again for candidates only.
+Documents that share a shingle of medium rarity and have like sizes without being copies are compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_schema, cut, map_rows
+from .components import components
+
+#: Similar are sets of which NUM / DEN of the union are common.
+WORDS, NUM, DEN = 5, 4, 5
+HOT_SAMPLE, HOT_LEAST, MANY = 20_000, 20, 64
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of all runs of WORDS words; of a shorter text, the one of the whole. No words (or null): none."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if len(tokens) <= WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens))] if tokens else [], np.uint64).view(np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    n = len(w) - WORDS + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(WORDS):
+        h = (h ^ w[i : i + n]) * _MIX[i]
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first shingles, hot ones last, of which every similar set shares one with its own."""
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+        own = np.concatenate([own[~is_hot], own[is_hot]])
+    return own[: len(own) + (-len(own) * NUM // DEN) + 1] if len(own) else own
+
+
+def marks(own: np.ndarray) -> bytes:
+    """A bitmap of the set, of two to four bits a shingle; its size is a power of two, so that larger ones fold to smaller ones."""
+    size = max(64, 1 << int(2 * len(own) - 1).bit_length()) if len(own) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[own.view(np.uint64) & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """No more shingles than this are common to sets of n and m shingles with the marks x and y: a mark that only one has is a shingle that only it has."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _signed_key(own: np.ndarray) -> int:
+    key = xxhash.xxh64_intdigest(own.tobytes())
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _set_rows(hot: np.ndarray):
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text_hash, text in rows:
+            own = shingles(text)
+            yield doc_id, text_hash, _signed_key(own), len(own), marks(own), prefix(own, hot).tobytes()
+
+    return run
+
+
+def hot_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes that ``HOT_LEAST`` texts of a sample of about ``HOT_SAMPLE`` hold. They change the order and not what is found."""
+    n = docs.count()
+    if n < HOT_LEAST:
+        return np.zeros(0, np.int64)
+    limit = int(min(1.0, HOT_SAMPLE / n) * (1 << 53))
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(31), "doc_id", "text"), 11) <= limit).select("text")
+    held = map_rows(sample, lambda: lambda rows: ((h,) for (text,) in rows for h in shingles(text).tolist()), "h long")
+    counted = held.groupBy("h").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r["h"] for r in counted.where(F.col("n") >= HOT_LEAST).select("h").collect()], np.int64))
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n, key, place) of every shingle of a prefix: n the size of the set, place the shingle's in the order."""
+    schema = arrow_schema("h long, n int, key long, place int")
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            firsts = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            sizes = np.array([len(x) for x in firsts])
+            columns = (np.concatenate(firsts), np.repeat(part.column(1).to_numpy(), sizes), np.repeat(part.column(0).to_numpy(), sizes), np.concatenate([np.arange(x, dtype=np.int32) for x in sizes]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+
+def _pairs(n: np.ndarray, key: np.ndarray, place: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys that may be similar and have different components, of sets sorted by size that share one shingle."""
+    for i in range(len(n) - 1):
+        stop = np.searchsorted(n, int(n[i]) * DEN // NUM, "right")
+        j = np.arange(i + 1, stop)
+        # Before the shared shingle no more are common than the smaller place says, after it no more than the smaller rest.
+        most = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
+        j = j[((NUM + DEN) * most >= NUM * (n[i] + n[j])) & (comp[j] != comp[i])]
+        if len(j):
+            yield np.full(len(j), key[i]), key[j]
+
+
+def _candidate_rows(every: bool):
+    """Rows (h, n, key, place, comp) sorted by h, n and key to pairs (a, b). Unless ``every``, of more than MANY sets with one
+    shingle only neighbours are paired, and (shingle, null) is returned."""
+    schema = arrow_schema("a long, b long")
+
+    def of_group(n, key, place, comp):
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        n, key, place, comp = n[new], key[new], place[new], comp[new]
+        if every or len(n) <= MANY:
+            yield from _pairs(n, key, place, comp)
+        else:
+            near = n[1:].astype(np.int64) * NUM <= n[:-1].astype(np.int64) * DEN
+            yield key[:-1][near], key[1:][near]
+
+    def of_rows(h, n, key, place, comp):
+        starts = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1])
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            own = slice(at, at + size)
+            for a, b in of_group(n[own], key[own], place[own], comp[own]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            if not every and len(np.unique(key[own])) > MANY:
+                yield pa.RecordBatch.from_arrays([pa.array([int(h[at])], pa.int64()), pa.array([None], pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [c[last:] for c in columns]
+            if last:
+                yield from gathered(of_rows(*(c[:last] for c in columns)))
+        if held is not None:
+            yield from gathered(of_rows(*held))
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, rows = [], 0
+        for part in parts:
+            many.append(part)
+            rows += part.num_rows
+            if rows >= 8192:
+                yield from pa.Table.from_batches(many).combine_chunks().to_batches()
+                many, rows = [], 0
+        if many:
+            yield from pa.Table.from_batches(many).combine_chunks().to_batches()
+
+    return run
+
+
+def _possible_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for a, b, n, x, m, y in rows:
+        if (NUM + DEN) * most_common(n, x, m, y) >= NUM * (n + m):
+            yield a, b
+
+
+def _similar_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for a, b, x, y in rows:
+        x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+        if (NUM + DEN) * common >= NUM * (len(x) + len(y)):
+            yield a, b
+
+
+def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar. Sets are made again from the texts of those that their marks don't rule out."""
+
+    def of_sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+        sides = [rows.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", *(f"{c}_{side}" for side in "ab" for c in columns))
+
+    one = sets.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("marks").alias("marks"))
+    possible = cut(map_rows(of_sides(pairs, one, "n", "marks"), lambda: _possible_rows, "a long, b long"))
+    named = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = sets.groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(named, "key", "left_semi").select("text_hash")
+    texts = docs.select("text").withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    packed = map_rows(texts.select("text"), lambda: lambda rows: ((_signed_key(x), x.tobytes()) for x in (shingles(t) for (t,) in rows)), "key long, packed binary")
+    return map_rows(of_sides(possible, packed, "packed"), lambda: _similar_rows, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, key (of its set of shingles), component_id (smallest doc_id it is linked to, also by way of
+    others). Texts without words have equal (empty) sets. Repeated rows are returned each; an empty table gives an empty table."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hot = hot_shingles(docs)
+    ddl = "doc_id long, text_hash long, key long, n int, marks binary, prefix binary"
+    sets = cut(map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), lambda: _set_rows(hot), ddl))
+    firsts = sets.select("key", "n", "prefix").mapInArrow(_prefix_rows, "h long, n int, key long, place int")
+
+    def paired(rows: DataFrame, every: bool) -> DataFrame:
+        sorted_rows = rows.select("h", "n", "key", "place", "comp").repartition("h").sortWithinPartitions("h", "n", "key")
+        return cut(sorted_rows.mapInArrow(_candidate_rows(every), "a long, b long").distinct())
+
+    found = paired(firsts.withColumn("comp", F.col("key")), False)
+    edges = cut(_similar(docs, sets, found.where("b is not null")))
+    rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    large = found.where("b is null").select(F.col("a").alias("h"))
+    if not large.isEmpty():
+        rest = firsts.join(large, "h", "left_semi").join(rooted, "key", "left").withColumn("comp", F.coalesce("root", "key"))
+        edges = edges.union(_similar(docs, sets, paired(rest, True)))
+        rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    classes = sets.groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    of_class = classes.join(rooted, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
+    smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return sets.select("doc_id", "key").join(of_class.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")

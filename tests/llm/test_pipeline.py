@@ -1,0 +1,69 @@
+"""The stages of the corpus pipeline against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from chunkloom.llm import shingles
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts], DOCS)
+
+
+def brute_set(text):
+    words = (text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+@pytest.mark.parametrize("many", [64, 3])
+def test_near_copies(spark, monkeypatch, many):
+    """Copies of similarity 0.8 to 0.95, and some below, are dropped or kept as brute force says; also where many share a line."""
+    monkeypatch.setattr(shingles, "MANY", many)
+    monkeypatch.setattr(shingles, "HOT_LEAST", 20 if many == 64 else 10**6)
+    rng = random.Random(31)
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = {}
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        texts[i * 10] = " ".join([*words, line])
+        for k in range(1, 5):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) * k // 120)):
+                edited[at] = f"new{rng.randrange(5000)}"
+            texts[i * 10 + k] = " ".join([*edited, line])
+    texts |= {1000: "", 1001: None, 1002: "one two", 1003: "one  two", 1004: "one two three"}
+    sets = {i: brute_set(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    near = []
+    for i in texts:
+        for j in texts:
+            if j < i and (x := likeness(sets[i], sets[j])) >= 0.8:
+                near.append(x)
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert sum(0.8 <= x < 0.87 for x in near) > 10 and sum(0.87 <= x < 0.95 for x in near) > 10
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts.items()), "").collect()}
+    assert kept == {i for i in texts if root[i] == i}
+    assert len(kept) < len(texts) - 60
+
+
+def test_near_copies_of_nothing(spark):
+    assert corpus_pipeline.drop_near_duplicates(spark, frame(spark, []), "").collect() == []
+
+
+def test_marks_rule_out_no_similar_sets():
+    rng = random.Random(33)
+    for _ in range(300):
+        n = rng.randrange(1, 700)
+        words = [f"w{rng.randrange(900)}" for _ in range(n + 4)]
+        edited = [w if rng.random() > 0.05 else "x" for w in words][: rng.randrange(n + 4) + 1] + ["y"] * rng.randrange(3)
+        x, y = (shingles.shingles(" ".join(t)) for t in (words, edited))
+        assert shingles.most_common(len(x), shingles.marks(x), len(y), shingles.marks(y)) >= len(set(x.tolist()) & set(y.tolist()))
