@@ -285,6 +285,23 @@ def test_passages(spark, odd, empty):
     assert substrings.passages(empty).collect() == [] and substrings.remove_passages(empty, substrings.passages(empty)).collect() == []
 
 
+@pytest.mark.parametrize("least", [20, 1])
+def test_passage_held_more_often_than_before(spark, monkeypatch, least):
+    """All copies of a passage in a later document are found, though the earlier one has it once; also by way of salts."""
+    monkeypatch.setattr(substrings, "HOT_LEAST", least)
+    rng = random.Random(41)
+    shared = prose(rng, 70)
+    texts = {1: [prose(rng, 40), shared], 2: [prose(rng, 30), shared, prose(rng, 200), shared, prose(rng, 20)], 3: [shared, prose(rng, 90), shared, prose(rng, 90), shared]}
+    docs = frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])
+    hit = {i: set() for i in texts}
+    for r in substrings.passages(docs).collect():
+        assert r["ref_doc_id"] < r["doc_id"]
+        hit[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    where = {1: set(), 2: {*range(30, 100), *range(300, 370)}, 3: {*range(70), *range(160, 230), *range(320, 390)}}
+    for i in texts:
+        assert len(where[i] - hit[i]) <= 2 and len(hit[i] - where[i]) <= 4, i
+
+
 def test_hot_passages(spark, monkeypatch):
     """A passage that most documents hold is found in all but the first, by way of salts too."""
     monkeypatch.setattr(substrings, "HOT_LEAST", 5)
