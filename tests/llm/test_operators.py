@@ -243,7 +243,7 @@ def test_chains_are_best():
             chain = [a for i, a in enumerate(anchors) if mask >> i & 1]
             if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(chain, chain[1:])):
                 best = max(best, score(chain))
-        got = substrings.chains(anchors)
+        got = [[x[:2] for x in c] for c in substrings.chains([(*x, 0, 1) for x in anchors])]
         assert all(p[0] < q[0] and p[1] < q[1] for c in got for p, q in zip(c, c[1:]))
         if best > substrings.GAIN:
             assert max(map(score, got)) == pytest.approx(best)
@@ -285,10 +285,10 @@ def test_passages(spark, odd, empty):
     assert substrings.passages(empty).collect() == [] and substrings.remove_passages(empty, substrings.passages(empty)).collect() == []
 
 
-@pytest.mark.parametrize("least", [20, 1])
-def test_passage_held_more_often_than_before(spark, monkeypatch, least):
-    """All copies of a passage in a later document are found, though the earlier one has it once; also by way of salts."""
-    monkeypatch.setattr(substrings, "HOT_LEAST", least)
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_passage_held_more_often_than_before(spark, monkeypatch, chunk):
+    """All copies of a passage in a later document are found, though the earlier one has it once; read together or apart."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
     rng = random.Random(41)
     shared = prose(rng, 70)
     texts = {1: [prose(rng, 40), shared], 2: [prose(rng, 30), shared, prose(rng, 200), shared, prose(rng, 20)], 3: [shared, prose(rng, 90), shared, prose(rng, 90), shared]}
@@ -302,18 +302,124 @@ def test_passage_held_more_often_than_before(spark, monkeypatch, least):
         assert len(where[i] - hit[i]) <= 2 and len(hit[i] - where[i]) <= 4, i
 
 
-def test_hot_passages(spark, monkeypatch):
-    """A passage that most documents hold is found in all but the first, by way of salts too."""
-    monkeypatch.setattr(substrings, "HOT_LEAST", 5)
+@pytest.mark.parametrize("chunk", [1 << 20, 512])
+def test_hot_passages(spark, monkeypatch, chunk):
+    """A passage that most documents hold is found in all but the first."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
     rng = random.Random(12)
     shared = prose(rng, 80)
     docs = frame(spark, [(i, prose(rng, 60) + " " + shared + " " + prose(rng, 20), "en", "s") for i in range(120)])
-    assert len(substrings.hot_hashes(docs)) > 0
     found = substrings.passages(docs).collect()
     assert {r["doc_id"] for r in found} == set(range(1, 120))
     assert len(found) <= 4 * 120
 
 
+def test_seeds_of_texts_together_are_those_of_each():
+    rng = random.Random(42)
+    texts = [substrings.word_hashes(prose(rng, n)) for n in (0, 1, 3, 4, 35, 36, 37, 49, 50, 400, 0, 36)]
+    key, of, pos = substrings.seeds(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for i, t in enumerate(texts):
+        alone, _, at = substrings.seeds(t, np.array([len(t)]))
+        short = lambda k, p: {(int(x), int(y)) for x, y in zip(k, p) if not x & 1}
+        assert short(key[of == i], pos[of == i]) == short(alone, at)
+        long = pos[(of == i) & (key & 1 == 1)]
+        assert all((long[None] >= s).any() and ((long >= s) & (long + substrings.LONG <= s + 49)).any() for s in range(len(t) - 48))
+    assert [len(x) for x in substrings.seeds(np.zeros(0, np.uint32), np.zeros(1, np.int64))] == [0, 0, 0]
+
+
+def test_pack():
+    rng = np.random.default_rng(43)
+    columns = [rng.integers(-(1 << 62), 1 << 62, 50), np.full(50, -7), rng.integers(0, 70_000, 50), np.array([-(1 << 63), (1 << 63) - 1] * 25), rng.integers(0, 1 << 48, 50).astype(np.uint64)]
+    got = substrings.unpack(substrings.pack(*columns), 5)
+    assert all((x.astype(np.int64) == y).all() for x, y in zip(columns, got))
+
+
+def test_partners_are_those_of_brute_force():
+    rng = random.Random(44)
+    for _ in range(50):
+        rows = sorted({(rng.randrange(4), rng.randrange(5), rng.randrange(9)) for _ in range(rng.randrange(40))})
+        key, d, pos = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        for i, p in enumerate(substrings.partners(key, d).tolist()):
+            k, doc, _ = rows[i]
+            lower = [x for x in rows if x[0] == k and x[1] < doc]
+            same = [x for x in rows if x[:2] == (k, doc)]
+            if lower:
+                those = [x for x in lower if x[1] == lower[-1][1]]
+                assert rows[p] == those[min(same.index(rows[i]), len(those) - 1)]
+            else:
+                assert p == -1
+
+
+def edited(rng, words, share, every):
+    """The words with one in ``every`` (or a random share) changed, left out or doubled."""
+    out = []
+    for i, w in enumerate(words):
+        if (i % every == every - 1) if every else rng.random() < share:
+            out += rng.choice([[rng.choice(WORDS) + "x"], [], [w, "added"]]) if not every else [f"new{rng.randrange(10**6)}"]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize(("n", "share", "every"), [(60, 0, 8), (60, 0, 6), (100, 0, 5), (60, 0.1, 0), (100, 0.15, 0)])
+def test_fuzzy_recall(spark, n, share, every):
+    """Of edited passages at least 0.9 are found whole; unrelated words beside them are not taken for them."""
+    rng = random.Random(n + every)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    body = lambda k: [rng.choice(words) for _ in range(k)]
+    rows, where = [], {}
+    for i in range(0, 160, 2):
+        passage = body(n)
+        copy = edited(rng, passage, share, every)
+        before = body(rng.randrange(10, 90))
+        rows += [(i, " ".join(body(40) + passage + body(70)), "en", "s"), (i + 1, " ".join(before + copy + body(50)), "en", "s")]
+        where[i + 1] = range(len(before), len(before) + len(copy))
+    hit: dict[int, set] = {i: set() for i in where}
+    for r in substrings.passages(frame(spark, rows)).collect():
+        assert r["ref_doc_id"] == r["doc_id"] - 1
+        hit[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert sum(len(hit[i] & set(w)) >= 0.9 * len(w) for i, w in where.items()) >= 0.9 * len(where)
+    assert all(len(hit[i] - set(w)) <= 6 for i, w in where.items())
+
+
+def test_every_exact_run_is_found(spark):
+    """Against all runs of 50 words: repeats inside documents, lines held singly by later documents, runs of many documents."""
+    rng = random.Random(45)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS[:9]]
+    body = lambda k: [rng.choice(words) for _ in range(k)]
+    lines = [body(k) for k in (30, 30, 20, 20, 20, 15, 15, 15, 15)]
+    blocks = [lines[0] + lines[1], lines[2] + lines[3] + lines[4], lines[5] + lines[6] + lines[7] + lines[8], body(50), body(51), body(300)]
+    texts = {0: body(30) + [w for b in blocks for w in [*b, *body(9)]]}
+    for i in range(1, 60):
+        parts = [body(rng.randrange(60))]
+        for _ in range(rng.randrange(1, 5)):
+            parts += [rng.choice(lines if i < 40 and i % 3 else blocks), body(rng.randrange(1, 40))]
+        texts[i] = [w for p in parts for w in p]
+    runs: dict[tuple, int] = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 49):
+            runs.setdefault(tuple(t[k : k + 50]), i)
+    want = {i: {w for k in range(len(t) - 49) if runs[tuple(t[k : k + 50])] < i for w in range(k, k + 50)} for i, t in texts.items()}
+    hit: dict[int, set] = {i: set() for i in texts}
+    for r in substrings.passages(frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])).collect():
+        hit[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert sum(map(len, want.values())) > 2000
+    for i in texts:
+        # A word beside a passage may happen to stand beside it in another earlier document too.
+        assert all(w - 1 in hit[i] or w + 1 in hit[i] for w in want[i] - hit[i]) and len(want[i] - hit[i]) <= 2, i
+
+
+def test_remove_passages_with_columns_of_its_own_names(spark):
+    rng = random.Random(46)
+    shared = prose(rng, 60)
+    rows = [(1, shared, "en", "s"), (2, prose(rng, 20) + " " + shared, "en", "s"), (3, None, None, None), (None, shared, "en", "s")]
+    docs = frame(spark, rows, _doc=1, _hash="x", _text_hash=2, _a=3, _b=4, _spans=5, start_word=6)
+    left = substrings.remove_passages(docs, substrings.passages(docs))
+    assert left.columns == docs.columns
+    got = {r["doc_id"]: r for r in left.collect()}
+    assert set(got) == {1, 2, 3, None} and len(got[2]["text"].split()) == 20 and got[None]["text"] == shared and got[1]["_hash"] == "x"
+
+
 # 4
 
 
