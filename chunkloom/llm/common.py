@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the files of shuffles that no plan refers to; Spark removes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind it as make it differ from all that are taken (in any case of letters)."""
     used = {x.lower() for x in taken}

@@ -6,8 +6,14 @@ counts, only if their numbers of set bits differ by no more than the radius, as
 it. Inside a pair of tiles the same argument is used on the halves, or quarters, of the fingerprint. All links are found; each
 comparison hands on a spanning forest of the links it saw, so a group of n near copies costs n edges and not n^2.
 
+``similar_documents`` is for shingles of five words and a similarity of 0.8 or more: fingerprints of 256 bits, so that a radius
+which loses no such pair leaves few others to check; tiles by the number of shingles too, as sets whose sizes differ by more
+than a quarter are not that similar. The shingles of each close pair are then compared exactly. Of very many close
+documents each is first checked with its ``NEAREST`` ones, and then with all that it is not linked to yet: a group of n near
+copies needs no n^2 checks.
+
 Scale: comparing exactly is quadratic in the number of distinct fingerprints, less the pruned tiles; a tile is at most
-about ``TILE`` longs, each pair of tiles is one record of the shuffle, and nothing is collected but 65 counts.
+about ``TILE`` fingerprints, each pair of tiles is one record of the shuffle, and nothing is collected but counts of tiles.
 """
 
 from __future__ import annotations
@@ -17,14 +23,24 @@ from itertools import groupby
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, read_table
+from .common import cut, free_shuffles, fresh, map_rows, read_table
 from .components import Forest, components
 
 WORDS, RADIUS, HASH_SEED = 3, 3, 42
 TILE = 65_536
+#: Words of a shingle of ``similar_documents``; similar are sets of which NUM / DEN of the union are common.
+SHINGLE, NUM, DEN = 5, 4, 5
+#: Longs of a wide fingerprint. Of sets of similarity 0.8, 39 of its 256 bits differ on average, and 10 of the first 64; the radii
+#: are five and four standard deviations more, three for sets of four and five shingles.
+LONGS, WIDE_RADIUS, FIRST_RADIUS = 4, 68, 22
+#: Close documents that each is checked with at first, in each pair of tiles.
+NEAREST = 4
+#: Sizes within a quarter of each other are in the same band or in neighbouring ones.
+_BAND = 1.2501
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Pairs compared at once: both operands and the result stay in the cache.
 _ROWS, _COLS = 64, 2048
 #: Pairs of a pair of tiles from which quarters are taken and not halves.
@@ -128,17 +144,9 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     split = {r["bits"]: -(-r["n"] // tile) for r in counted.groupBy("bits").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not split:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    parts = F.create_map(*(F.lit(x) for kv in split.items() for x in kv))[F.col("bits")]
-    keyed = counted.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).select("bits", "part", "fp")
+    keyed = counted.select("bits", _parts_of(F.col("bits"), split, "fp").alias("part"), "fp")
     tiles = cut(map_rows(keyed.repartition("bits", "part").sortWithinPartitions("bits", "part", "fp"), lambda: _pack, "bits int, part int, fps binary"))
-    # The partners of a tile follow from its own (bits, part) and the 65 counts alone; each tile is sent to each of its pairs.
-    counts = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in sorted(split.items())))
-    near = F.filter(counts, lambda x: F.abs(x["b"] - F.col("bits")) <= radius)
-    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), (x["n"] - 1).cast("int")), lambda p: F.struct(x["b"].alias("b"), p.alias("p")))))
-    sent = tiles.select(F.struct(F.col("bits").alias("b"), F.col("part").alias("p")).alias("mine"), "fps", F.explode(others).alias("other"))
-    pair = F.concat_ws(" ", *(f("mine", "other")[k].cast("string") for f in (F.least, F.greatest) for k in ("b", "p")))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = sent.select(pair.alias("pair"), side.alias("side"), "fps").repartition("pair").sortWithinPartitions("pair", "side")
+    dealt = _pairs_of_tiles(tiles, split, radius, "bits", "fps")
     return map_rows(dealt, lambda: _compare(radius), "a long, b long")
 
 
@@ -157,5 +165,214 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of all runs of SHINGLE words; of a shorter text, the one of the whole. No words (or null): none."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if len(tokens) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens))] if tokens else [], np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    n = len(w) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ w[i : i + n]) * _MIX[i]
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The LONGS longs of the SimHash of a set of hashes: a bit is set if it is set in over half of the set's longs. Of no set: zeros."""
+    ones = np.zeros(64 * LONGS, np.int64)
+    for at in range(0, len(own), 255):  # counts of a part fit in a byte
+        part = own[at : at + 255]
+        bits = np.empty((len(part), LONGS), np.uint64)
+        for k in range(LONGS):
+            x = (part ^ _MIX[k + 1]) * _MIX[k]
+            x = (x ^ x >> np.uint64(31)) * _MIX[k + 1]
+            bits[:, k] = x ^ x >> np.uint64(29)
+        ones += np.unpackbits(bits.view(np.uint8).reshape(len(part), 8 * LONGS), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _set_key(own: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(own.tobytes()))
+
+
+def _wide_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for doc_id, text_hash, text in rows:
+        own = shingles(text)
+        yield doc_id, text_hash, _set_key(own), len(own), wide_fingerprint(own).tobytes()
+
+
+#: A node of a tile: the key of its set, the set's size, the root it is linked to, the fingerprint.
+_NODE = np.dtype([("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("fp", "<u8", LONGS)])
+
+
+def _pack_wide(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Sorted (band, part, key, root, n, fp) to one row of each tile, in order of the fingerprints' set bits."""
+    for (band, part), own in groupby(rows, key=lambda r: r[:2]):
+        tile = np.array([(key, root, n, np.frombuffer(fp, "<u8")) for _, _, key, root, n, fp in own], _NODE)
+        yield band, part, tile[np.argsort(_set_bits(tile), kind="stable")].tobytes()
+
+
+def _set_bits(tile: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(tile["fp"]).sum(axis=1, dtype=np.int64)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(position in a, in b, bits that differ) of the pairs of nodes within the radii whose sizes do not rule out similarity, in
+    pieces. ``same``: a is b, and each pair comes once. Both are sorted by set bits: what differs by more than the radius is skipped."""
+    bits_a, bits_b = _set_bits(a), _set_bits(b)
+    first_a, first_b = (np.ascontiguousarray(x["fp"][:, 0]) for x in (a, b))
+    for i in range(0, len(a), _ROWS):
+        rows = slice(i, i + _ROWS)
+        start = i if same else int(np.searchsorted(bits_b, bits_a[i] - WIDE_RADIUS))
+        stop = int(np.searchsorted(bits_b, bits_a[rows][-1] + WIDE_RADIUS, "right"))
+        for j in range(start, stop, _COLS):
+            p, q = np.nonzero(np.bitwise_count(first_a[rows, None] ^ first_b[None, j : min(j + _COLS, stop)]) <= FIRST_RADIUS)
+            p, q = p + i, q + j
+            if same:
+                p, q = p[q > p], q[q > p]
+            n, m = a["n"][p].astype(np.int64), b["n"][q].astype(np.int64)
+            like = (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (a["root"][p] != b["root"][q])
+            p, q = p[like], q[like]
+            apart = np.bitwise_count(a["fp"][p] ^ b["fp"][q]).sum(axis=1, dtype=np.int64)
+            near = apart <= WIDE_RADIUS
+            if near.any():
+                yield p[near], q[near], apart[near]
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs are among the NEAREST of either side."""
+    keep = np.zeros(len(p), bool)
+    for x in (p, q):
+        order = np.lexsort((apart, x))
+        new = np.concatenate([[True], x[order][1:] != x[order][:-1]]) if len(x) else np.zeros(0, bool)
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        keep[order[rank < NEAREST]] = True
+    return keep
+
+
+def _compare_wide(every: bool):
+    """Rows of (pair, side, tile) as in ``_compare`` to close pairs (a, b) of keys. Unless ``every``, only the NEAREST of each node
+    and, where there are others, a row (null, null)."""
+
+    def of_tiles(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple]:
+        held, size, left_out = [], 0, False
+
+        def thinned():
+            p, q, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+            keep = _nearest(p, q, apart)
+            return [(p[keep], q[keep], apart[keep])], not keep.all()
+
+        for found in close_pairs(a, b, same):
+            if every:
+                yield from zip(a["key"][found[0]].tolist(), b["key"][found[1]].tolist(), strict=True)
+                continue
+            held.append(found)
+            size += len(found[0])
+            if size > 1 << 20:
+                held, some = thinned()
+                left_out, size = left_out or some, len(held[0][0])
+        if held:
+            held, some = thinned()
+            yield from zip(a["key"][held[0][0]].tolist(), b["key"][held[0][1]].tolist(), strict=True)
+            if some or left_out:
+                yield None, None
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        left = (None, None)
+        for pair, side, packed in rows:
+            mine = np.frombuffer(packed, _NODE)
+            if side == 0:
+                left = (pair, mine)
+            elif side == 2:
+                yield from of_tiles(mine, mine, True)
+            elif left[0] == pair:
+                yield from of_tiles(left[1], mine, False)
+
+    return run
+
+
+def _pairs_of_tiles(tiles: DataFrame, counts: dict[int, int], reach: int, group: str, packed: str) -> DataFrame:
+    """(pair, side, packed) of every pair of tiles whose groups are no more than ``reach`` apart, for ``_compare``. ``counts``: the
+    tiles of each group. The partners of a tile follow from its own place and the counts alone; it is sent to each of its pairs."""
+    known = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(n).alias("n")) for g, n in sorted(counts.items())))
+    near = F.filter(known, lambda x: F.abs(x["g"] - F.col(group)) <= reach)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), (x["n"] - 1).cast("int")), lambda p: F.struct(x["g"].alias("g"), p.alias("p")))))
+    sent = tiles.select(F.struct(F.col(group).alias("g"), F.col("part").alias("p")).alias("mine"), packed, F.explode(others).alias("other"))
+    pair = F.concat_ws(" ", *(f("mine", "other")[k].cast("string") for f in (F.least, F.greatest) for k in ("g", "p")))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    return sent.select(pair.alias("pair"), side.alias("side"), packed).repartition("pair").sortWithinPartitions("pair", "side")
+
+
+def _parts_of(group: Column, counts: dict[int, int], key: str) -> Column:
+    """The tile of a group that a key is in."""
+    return F.pmod(F.xxhash64(key), F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))[group]).cast("int")
+
+
+def _similar_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for a, b, x, y in rows:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+        if (NUM + DEN) * common >= NUM * (len(x) + len(y)):
+            yield a, b
+
+
+def similar_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64 of the text), root (a long that similar texts share, also by way of others).
+
+    Texts without words (null, empty, blank) have equal sets. Null doc_ids and repeated rows are returned each; other columns
+    are ignored; an empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    prints = cut(map_rows(hashed, lambda: _wide_rows, "doc_id long, text_hash long, key long, n int, fp binary"))
+    nodes = prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"))
+    nodes = cut(nodes.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(_BAND)))).cast("int")))
+    counts = {r["band"]: -(-r["n"] // tile) for r in nodes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # some hundred rows at most
+    if not counts:
+        return prints.select("doc_id", "text_hash", F.col("key").alias("root"))
+
+    def close(nodes: DataFrame, every: bool) -> DataFrame:
+        keyed = nodes.select("band", _parts_of(F.col("band"), counts, "key").alias("part"), "key", "root", "n", "fp")
+        tiles = map_rows(keyed.repartition("band", "part").sortWithinPartitions("band", "part", "key"), lambda: _pack_wide, "band int, part int, nodes binary")
+        return cut(map_rows(_pairs_of_tiles(tiles, counts, 1, "band", "nodes"), lambda: _compare_wide(every), "a long, b long"))
+
+    def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("key").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab"]
+        return map_rows(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "packed_a", "packed_b"), lambda: _similar_rows, "a long, b long")
+
+    pairs = close(nodes.withColumn("root", F.col("key")), False)
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("text_hash")
+    texts = hashed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
+    sets = cut(map_rows(texts, lambda: lambda rows: ((_set_key(x), x.tobytes()) for x in (shingles(t) for (t,) in rows)), "key long, packed binary").dropDuplicates(["key"]))
+    free_shuffles(spark)
+    edges = cut(checked(pairs.where("a is not null"), sets))
+    rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    if not pairs.where("a is null").isEmpty():
+        linked = nodes.join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        edges = edges.union(checked(close(linked, True), sets))
+        rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    return prints.join(rooted, "key", "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
+
+
+def first_of_each(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """``docs``, of each group of similar texts (``similar_documents``) only the row with the smallest doc_id; rows without one come
+    last. Of equal rows, and of equal doc_ids with different similar texts, one stays. All columns are returned."""
+    mine, row, kept_id, kept_hash = fresh(docs.columns, "_text_hash", "_row", "_kept_id", "_kept_hash")
+    grouped = similar_documents(docs, tile)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    kept = best.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash))
+    hashed = docs.withColumn(mine, F.xxhash64("text"))
+    # Equal sets of shingles may be of different texts, but a text has one root, so that each of these rows is wanted once.
+    wanted = hashed.join(kept, (F.col(mine) == F.col(kept_hash)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return wanted.withColumn(row, F.row_number().over(Window.partitionBy(mine, "doc_id").orderBy(F.lit(1)))).where(F.col(row) == 1).drop(mine, row)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

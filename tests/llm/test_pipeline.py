@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from chunkloom.llm import shingles
+from chunkloom.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,11 +24,10 @@ def likeness(x, y):
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-@pytest.mark.parametrize("many", [64, 3])
-def test_near_copies(spark, monkeypatch, many):
+@pytest.mark.parametrize(("nearest", "tile"), [(4, 1 << 16), (1, 16)])
+def test_near_copies(spark, monkeypatch, nearest, tile):
     """Copies of similarity 0.8 to 0.95, and some below, are dropped or kept as brute force says; also where many share a line."""
-    monkeypatch.setattr(shingles, "MANY", many)
-    monkeypatch.setattr(shingles, "HOT_LEAST", 20 if many == 64 else 10**6)
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
     rng = random.Random(31)
     line = " ".join(f"line{i}" for i in range(12))
     texts = {}
@@ -50,20 +50,70 @@ def test_near_copies(spark, monkeypatch, many):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
     assert sum(0.8 <= x < 0.87 for x in near) > 10 and sum(0.87 <= x < 0.95 for x in near) > 10
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts.items()), "").collect()}
+    kept = {r["doc_id"] for r in simhash.first_of_each(frame(spark, texts.items()), tile).collect()}
     assert kept == {i for i in texts if root[i] == i}
     assert len(kept) < len(texts) - 60
 
 
+def test_near_copies_of_a_large_group(spark, monkeypatch):
+    """Near copies of near copies, each like some of the others only, are one group, though each is checked with one other at first."""
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    rng = random.Random(34)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = {}
+    for i in range(150):
+        if i % 10 == 0:
+            words = [f"v{rng.randrange(5000)}" if rng.random() < 0.012 else w for w in words]
+        texts[i] = " ".join(f"u{rng.randrange(5000)}" if rng.random() < 0.004 else w for w in words)
+    sets = {i: brute_set(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts.items()), "").collect()}
+    assert kept == set(root.values())
+
+
+def test_close_pairs_are_those_of_brute_force():
+    rng = np.random.default_rng(35)
+    base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64) << np.uint64(1)
+    nodes = []
+    for k in range(400):
+        flips = np.packbits((rng.random(256) < rng.choice([0.02, 0.15, 0.22])).astype(np.uint8)).view(np.uint64)
+        nodes.append((k, k // 5, int(rng.integers(90, 130)), base[k % 40] ^ flips))
+    tile = np.array(nodes, simhash._NODE)
+    a = tile[np.argsort(simhash._set_bits(tile), kind="stable")]
+    apart = np.bitwise_count(a["fp"][:, None] ^ a["fp"][None]).astype(int)
+    n = a["n"].astype(int)
+    like = (apart.sum(axis=2) <= simhash.WIDE_RADIUS) & (apart[:, :, 0] <= simhash.FIRST_RADIUS) & (np.minimum(n[:, None], n[None]) * 5 >= np.maximum(n[:, None], n[None]) * 4) & (a["root"][:, None] != a["root"][None])
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(like)) if i < j}
+    assert len(want) > 200
+    assert {(int(i), int(j)) for p, q, _ in simhash.close_pairs(a, a, True) for i, j in zip(p, q)} == want
+    assert {tuple(sorted((int(i), 150 + int(j)))) for p, q, _ in simhash.close_pairs(a[:150], a[150:], False) for i, j in zip(p, q)} == {x for x in want if x[0] < 150 <= x[1]}
+
+
+def test_wide_fingerprint_has_the_majority_of_bits():
+    rng = random.Random(36)
+    for n in (0, 1, 2, 5, 254, 255, 256, 1000):
+        own = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        each = np.array([np.unpackbits(simhash.wide_fingerprint(own[i : i + 1]).view(np.uint8)) for i in range(len(own))]).reshape(-1, 256)
+        want = 2 * each.sum(axis=0) > len(own)
+        assert (np.unpackbits(simhash.wide_fingerprint(own).view(np.uint8)) == want).all()
+
+
 def test_near_copies_of_nothing(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, frame(spark, []), "").collect() == []
 
 
-def test_marks_rule_out_no_similar_sets():
-    rng = random.Random(33)
-    for _ in range(300):
-        n = rng.randrange(1, 700)
-        words = [f"w{rng.randrange(900)}" for _ in range(n + 4)]
-        edited = [w if rng.random() > 0.05 else "x" for w in words][: rng.randrange(n + 4) + 1] + ["y"] * rng.randrange(3)
-        x, y = (shingles.shingles(" ".join(t)) for t in (words, edited))
-        assert shingles.most_common(len(x), shingles.marks(x), len(y), shingles.marks(y)) >= len(set(x.tolist()) & set(y.tolist()))
+def test_rows_without_ids_and_repeated_rows(spark):
+    """Of equal rows one stays; texts of one doc_id that differ stay; rows without a doc_id stay unless one with an id is like them."""
+    rng = random.Random(37)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, a), (None, None), (2, ""), (3, None), (4, d), (0, d + " more")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (2, ""), (0, d + " more")], key=str)
+    clashing = frame(spark, rows).selectExpr("*", "1 as key", "2 as root", "3 as _row", "4 as _text_hash", "5 as n", "6 as fp", "7 as _kept_id", "8 as _kept_hash")
+    left = simhash.first_of_each(clashing)
+    assert left.columns == clashing.columns and left.count() == 5
