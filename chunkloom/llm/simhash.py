@@ -38,6 +38,8 @@ SHINGLE, NUM, DEN = 5, 4, 5
 LONGS, WIDE_RADIUS, FIRST_RADIUS = 4, 68, 22
 #: Close documents that each is checked with at first, in each pair of tiles.
 NEAREST = 4
+#: Bytes of shingles of a tile where all are checked: small ones up to so many, for many tasks, and then larger ones, so that each is sent less often.
+SMALL_TILE, MANY_TILES, LARGE_TILE = 1 << 19, 32, 16 << 20
 #: Sizes within a quarter of each other are in the same band or in neighbouring ones.
 _BAND = 1.2501
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -212,10 +214,13 @@ _NODE = np.dtype([("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("fp", "<u8", L
 
 
 def _pack_wide(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Sorted (band, part, key, root, n, fp) to one row of each tile, in order of the fingerprints' set bits."""
+    """Sorted (band, part, key, root, n, fp, packed or null) to one row of each tile, in order of the fingerprints' set bits: the
+    nodes, and one after the other their sets."""
     for (band, part), own in groupby(rows, key=lambda r: r[:2]):
-        tile = np.array([(key, root, n, np.frombuffer(fp, "<u8")) for _, _, key, root, n, fp in own], _NODE)
-        yield band, part, tile[np.argsort(_set_bits(tile), kind="stable")].tobytes()
+        own = list(own)
+        tile = np.array([(key, root, n, np.frombuffer(fp, "<u8")) for _, _, key, root, n, fp, _ in own], _NODE)
+        order = np.argsort(_set_bits(tile), kind="stable")
+        yield band, part, tile[order].tobytes(), b"".join(own[i][6] or b"" for i in order)
 
 
 def _set_bits(tile: np.ndarray) -> np.ndarray:
@@ -256,57 +261,88 @@ def _nearest(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _compare_wide(every: bool):
-    """Rows of (pair, side, tile) as in ``_compare`` to close pairs (a, b) of keys. Unless ``every``, only the NEAREST of each node
-    and, where there are others, a row (null, null)."""
-
-    def of_tiles(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple]:
-        held, size, left_out = [], 0, False
-
-        def thinned():
-            p, q, apart = (np.concatenate(x) for x in zip(*held, strict=True))
-            keep = _nearest(p, q, apart)
-            return [(p[keep], q[keep], apart[keep])], not keep.all()
-
-        for found in close_pairs(a, b, same):
-            if every:
-                yield from zip(a["key"][found[0]].tolist(), b["key"][found[1]].tolist(), strict=True)
+def _nearest_rows(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple]:
+    """Close pairs (a, b) of keys, the NEAREST of each node, and (key, null) for nodes that have others."""
+    held: list[tuple] = []
+    size, dense = 0, [set(), set()]
+
+    def thinned() -> list[tuple]:
+        p, q, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = _nearest(p, q, apart)
+        dense[0].update(np.unique(p[~keep]).tolist())
+        dense[1].update(np.unique(q[~keep]).tolist())
+        return [(p[keep], q[keep], apart[keep])]
+
+    for found in close_pairs(a, b, same):
+        held.append(found)
+        size += len(found[0])
+        if size > 1 << 20:
+            held = thinned()
+            size = len(held[0][0])
+    if held:
+        p, q, _ = thinned()[0]
+        yield from zip(a["key"][p].tolist(), b["key"][q].tolist(), strict=True)
+    for nodes, positions in ((a, dense[0]), (b, dense[1])):
+        for i in positions:
+            yield int(nodes["key"][i]), None
+
+
+def _linked_rows(a: np.ndarray, b: np.ndarray, same: bool, sets_a: np.ndarray, sets_b: np.ndarray) -> Iterator[tuple]:
+    """Similar pairs (a, b) of keys that join what was not linked before, by roots or by pairs before."""
+    both = a if same else np.concatenate([a, b])
+    shift = 0 if same else len(a)
+    forest = Forest(len(both))
+    order = np.argsort(both["root"], kind="stable")
+    again = both["root"][order][1:] == both["root"][order][:-1]
+    forest.link(order[1:][again], order[:-1][again])
+    ends_a, ends_b = np.cumsum(a["n"], dtype=np.int64), np.cumsum(b["n"], dtype=np.int64)
+    for p, q, _ in close_pairs(a, b, same):
+        for i in np.unique(p).tolist():
+            others = q[p == i]
+            others = others[forest.root[others + shift] != forest.root[i]]
+            if not len(others):
                 continue
-            held.append(found)
-            size += len(found[0])
-            if size > 1 << 20:
-                held, some = thinned()
-                left_out, size = left_out or some, len(held[0][0])
-        if held:
-            held, some = thinned()
-            yield from zip(a["key"][held[0][0]].tolist(), b["key"][held[0][1]].tolist(), strict=True)
-            if some or left_out:
-                yield None, None
-
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        left = (None, None)
-        for pair, side, packed in rows:
-            mine = np.frombuffer(packed, _NODE)
-            if side == 0:
-                left = (pair, mine)
-            elif side == 2:
-                yield from of_tiles(mine, mine, True)
-            elif left[0] == pair:
-                yield from of_tiles(left[1], mine, False)
-
-    return run
-
-
-def _pairs_of_tiles(tiles: DataFrame, counts: dict[int, int], reach: int, group: str, packed: str) -> DataFrame:
-    """(pair, side, packed) of every pair of tiles whose groups are no more than ``reach`` apart, for ``_compare``. ``counts``: the
+            own = sets_a[ends_a[i] - a["n"][i] : ends_a[i]]
+            sizes = b["n"][others].astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            theirs = sets_b[np.repeat(ends_b[others] - sizes - first, sizes) + np.arange(sizes.sum())]
+            common = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, first)
+            for j in others[(NUM + DEN) * common >= NUM * (len(own) + sizes)].tolist():
+                if forest.root[i] != forest.root[j + shift]:
+                    forest.link(np.array([i]), np.array([j + shift]))
+                    yield int(a["key"][i]), int(b["key"][j])
+
+
+def _compare_wide(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of (pair, side, nodes, sets) as in ``_compare`` to pairs (a, b) of keys: with sets, similar ones that span the links of the
+    two tiles; without, close ones."""
+
+    def of_tiles(a: tuple, b: tuple, same: bool) -> Iterator[tuple]:
+        if len(a[1]) or len(b[1]):
+            return _linked_rows(a[0], b[0], same, a[1], b[1])
+        return _nearest_rows(a[0], b[0], same)
+
+    left: tuple = (None, None)
+    for pair, side, nodes, sets in rows:
+        mine = np.frombuffer(nodes, _NODE), np.frombuffer(sets, np.uint64)
+        if side == 0:
+            left = (pair, mine)
+        elif side == 2:
+            yield from of_tiles(mine, mine, True)
+        elif left[0] == pair:
+            yield from of_tiles(left[1], mine, False)
+
+
+def _pairs_of_tiles(tiles: DataFrame, counts: dict[int, int], reach: int, group: str, *packed: str) -> DataFrame:
+    """(pair, side, packed ...) of every pair of tiles whose groups are no more than ``reach`` apart, for ``_compare``. ``counts``: the
     tiles of each group. The partners of a tile follow from its own place and the counts alone; it is sent to each of its pairs."""
     known = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(n).alias("n")) for g, n in sorted(counts.items())))
     near = F.filter(known, lambda x: F.abs(x["g"] - F.col(group)) <= reach)
     others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), (x["n"] - 1).cast("int")), lambda p: F.struct(x["g"].alias("g"), p.alias("p")))))
-    sent = tiles.select(F.struct(F.col(group).alias("g"), F.col("part").alias("p")).alias("mine"), packed, F.explode(others).alias("other"))
+    sent = tiles.select(F.struct(F.col(group).alias("g"), F.col("part").alias("p")).alias("mine"), *packed, F.explode(others).alias("other"))
     pair = F.concat_ws(" ", *(f("mine", "other")[k].cast("string") for f in (F.least, F.greatest) for k in ("g", "p")))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    return sent.select(pair.alias("pair"), side.alias("side"), packed).repartition("pair").sortWithinPartitions("pair", "side")
+    return sent.select(pair.alias("pair"), side.alias("side"), *packed).repartition("pair").sortWithinPartitions("pair", "side")
 
 
 def _parts_of(group: Column, counts: dict[int, int], key: str) -> Column:
@@ -338,26 +374,27 @@ def similar_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     if not counts:
         return prints.select("doc_id", "text_hash", F.col("key").alias("root"))
 
-    def close(nodes: DataFrame, every: bool) -> DataFrame:
-        keyed = nodes.select("band", _parts_of(F.col("band"), counts, "key").alias("part"), "key", "root", "n", "fp")
-        tiles = map_rows(keyed.repartition("band", "part").sortWithinPartitions("band", "part", "key"), lambda: _pack_wide, "band int, part int, nodes binary")
-        return cut(map_rows(_pairs_of_tiles(tiles, counts, 1, "band", "nodes"), lambda: _compare_wide(every), "a long, b long"))
-
-    def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("key").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab"]
-        return map_rows(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "packed_a", "packed_b"), lambda: _similar_rows, "a long, b long")
+    def compared(nodes: DataFrame, counts: dict[int, int]) -> DataFrame:
+        keyed = nodes.select("band", _parts_of(F.col("band"), counts, "key").alias("part"), "key", "root", "n", "fp", "packed")
+        tiles = map_rows(keyed.repartition("band", "part").sortWithinPartitions("band", "part", "key"), lambda: _pack_wide, "band int, part int, nodes binary, sets binary")
+        return cut(map_rows(_pairs_of_tiles(tiles, counts, 1, "band", "nodes", "sets"), lambda: _compare_wide, "a long, b long"))
 
-    pairs = close(nodes.withColumn("root", F.col("key")), False)
+    pairs = compared(nodes.withColumns({"root": F.col("key"), "packed": F.lit(None).cast("binary")}), counts)
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("text_hash")
     texts = hashed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
     sets = cut(map_rows(texts, lambda: lambda rows: ((_set_key(x), x.tobytes()) for x in (shingles(t) for (t,) in rows)), "key long, packed binary").dropDuplicates(["key"]))
     free_shuffles(spark)
-    edges = cut(checked(pairs.where("a is not null"), sets))
+    sides = [sets.select(F.col("key").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab"]
+    sided = pairs.where("b is not null").join(sides[0], "a").join(sides[1], "b").select("a", "b", "packed_a", "packed_b")
+    edges = cut(map_rows(sided, lambda: _similar_rows, "a long, b long"))
     rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
-    if not pairs.where("a is null").isEmpty():
-        linked = nodes.join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        edges = edges.union(checked(close(linked, True), sets))
-        rooted = components(edges).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    dense = pairs.where("b is null").select(F.col("a").alias("key")).distinct()
+    if not dense.isEmpty():
+        again = nodes.join(dense, "key", "left_semi").join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key")).join(sets, "key")
+        again = cut(again.select("band", "key", "root", "n", "fp", "packed"))
+        held = {r["band"]: r["n"] for r in again.groupBy("band").agg(F.sum(F.length("packed")).alias("n")).collect()}
+        parts = {band: max(1, min(n // SMALL_TILE, max(MANY_TILES, n // LARGE_TILE))) for band, n in held.items()}
+        rooted = components(edges.union(compared(again, parts))).select(F.col("id").alias("key"), F.col("component").alias("root"))
     return prints.join(rooted, "key", "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 
 
