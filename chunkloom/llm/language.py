@@ -2,12 +2,11 @@
 
 Each language's dictionary is raw content for zstandard: normalised pieces (lower case, runs of non-letters made one
 space) of labelled documents. A whole text is normalised likewise, cut in blocks, and every block compressed with every
-dictionary (short texts with parts of them); the language with the smallest sum is chosen, and the choice is rejected when
-the next one comes close.
+dictionary; the language with the smallest sum is chosen, and the choice is rejected when the next one comes close.
 
 The dictionaries are learned from a bounded sample: ``PIECES`` pieces of at most ``PIECE_BYTES`` bytes of each language,
-those with the smallest seeded hash of (doc_id, piece) among distinct rows; at most ``MOST_LANGUAGES`` languages. So what
-is collected and broadcast has a fixed bound.
+those with the smallest seeded hash of (doc_id, text) among distinct rows, each from a seeded place anywhere in its text. The
+``MOST_LANGUAGES`` languages with the most rows are learned. So what is collected and broadcast has a fixed bound.
 """
 
 from __future__ import annotations
@@ -21,13 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read_table
 
-PIECES, PIECE_BYTES, MOST_LANGUAGES = 96, 1024, 64
+PIECES, PIECE_BYTES, MOST_LANGUAGES = 96, 1024, 256
 LEVEL, MIN_MATCH, BLOCK = 3, 3, 4096
 #: A choice is rejected when the next language's size is within this share.
 MARGIN = 0.002
 SHARPNESS = 16
-#: Texts of at most SHORT bytes are compressed with this many parts of each dictionary.
-SHORT, SHORT_PARTS = 256, 8
 _SEED = 99
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -39,22 +36,19 @@ def normalise(text: str) -> bytes:
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language from (doc_id, text, lang); rows with null text or lang are passed over.
 
-    Ordered by the number of rows, most first; a tie in size goes to the language that stands earlier.
+    Ordered by the number of rows, most first; a tie in size goes to the language that stands earlier. Of more than
+    ``MOST_LANGUAGES`` languages the rest are not learned.
     """
-    spark_rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = [(r["lang"], r["n"]) for r in spark_rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     if not counts:
         return {}
-    piece = F.substring("text", 1, PIECE_BYTES)
-    h = F.xxhash64(F.lit(_SEED), "doc_id", piece)
+    h = F.xxhash64(F.lit(_SEED), "doc_id", "text")
     # Four times as many as wanted, on average, lie under the limit of their language.
-    under = F.lit(False)
-    for lang, n in counts:
-        limit = min(1.0, 4 * PIECES / n)
-        under = under | ((F.col("lang") == lang) & (F.shiftrightunsigned(h, 11) <= int(limit * (1 << 53))))
-    sample = spark_rows.where(under).select("lang", h.alias("h"), piece.alias("piece")).distinct()
+    limits = labelled.sparkSession.createDataFrame([(lang, int(min(1.0, 4 * PIECES / n) * (1 << 53))) for lang, n in counts], "lang string, most long")
+    chosen = rows.withColumn("h", h).join(F.broadcast(limits), "lang").where(F.shiftrightunsigned("h", 11) <= F.col("most"))
+    start = F.pmod(F.xxhash64(F.lit(_SEED + 1), "h"), F.greatest(F.length("text") - PIECE_BYTES + 1, F.lit(1))) + 1
+    sample = chosen.select("lang", "h", F.substring("text", start, F.lit(PIECE_BYTES)).alias("piece")).distinct()
     pieces: dict[str, list[tuple[bool, int, bytes]]] = {lang: [] for lang, _ in counts}
     seen = set()
     for r in sample.collect():
@@ -77,24 +71,17 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 
 
 class Compressors:
-    """The compressors of a worker process. Sizes are whole bytes and differ little for short texts, so these are compressed
-    with each of ``SHORT_PARTS`` parts of a language's dictionary, and the sizes added."""
+    """The compressors of a worker process, one for each language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.whole = {lang: [_compressor(raw)] for lang, raw in dictionaries.items()}
-        self.parts = {}
-        for lang, raw in dictionaries.items():
-            pieces = raw.split(b"\n")
-            n = -(-len(pieces) // SHORT_PARTS)
-            self.parts[lang] = [_compressor(b"\n".join(pieces[i * n : (i + 1) * n])) for i in range(SHORT_PARTS)]
+        self.of = {lang: _compressor(raw) for lang, raw in dictionaries.items()}
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); ``und`` with zeros for null, for a text without a letter, or where nothing was learned."""
-        if text is None or not self.whole or not any(map(str.isalpha, text)):
+        if text is None or not self.of or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         raw = normalise(text)
-        used = self.parts if len(raw) <= SHORT else self.whole
-        sizes = {lang: sum(len(c.compress(raw[i : i + BLOCK])) for c in own for i in range(0, len(raw), BLOCK)) for lang, own in used.items()}
+        sizes = {lang: sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for lang, c in self.of.items()}
         ordered = sorted(sizes.items(), key=lambda x: x[1])
         best, least = ordered[0]
         margin = 1 - least / ordered[1][1] if len(ordered) > 1 else 1.0
@@ -105,9 +92,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     """Add lang_pred, score (0 to 1), margin and rejected to ``keep``'s columns (default: doc_id) of every row.
 
     Rejected: ``und``, or a margin under ``margin``. ``text`` is the only column read for the prediction. Repeated rows are
-    predicted each. The added columns must not clash with those kept.
+    predicted each. Kept columns must not have the names of those added (ValueError).
     """
     keep = ["doc_id"] if keep is None else keep
+    if clash := {"lang_pred", "score", "margin", "rejected"} & {x.lower() for x in keep}:
+        raise ValueError(f"columns {sorted(clash)} are added here")
     broadcast = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(*keep, F.col("text").alias("_text"))
     ddl = ", ".join(f"{n} {'long' if t == 'bigint' else t}" for n, t in rows.dtypes[:-1]) + ", lang_pred string, score double, margin double, rejected boolean"
