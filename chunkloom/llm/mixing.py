@@ -10,8 +10,9 @@ whose second part makes the answer unique: the rates nearest to 1. N is the numb
 
 Scale: a step needs the K sums T_k only. The table (tokens, posterior) is written once to the checkpoint folder; the rate of
 a row after any number of steps follows from its posterior and the steps' K-vectors, so no rates are stored or shuffled
-between steps and each step is one scan with a K-number result per partition. The classifier is learned from at most
-``PER_DOMAIN`` documents of each domain, of which ``LEARN_CHARS`` characters are read; its vocabulary has a fixed bound.
+between steps and each step is one scan with a K-number result per partition. The classifier is learned from the whole texts
+of at most ``PER_DOMAIN`` documents of each domain. The tasks make their features, and the driver gets these only: counts of
+``MOST_WORDS`` words, and at most as many numbers a document.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, map_rows, read_table, rows_of
@@ -30,7 +31,7 @@ from .common import arrow_schema, cut, map_rows, read_table, rows_of
 DOMAINS = ("clean", "low", "toxic")
 #: Target share of the tokens of each domain.
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
-PER_DOMAIN, LEARN_CHARS, MOST_WORDS, LEAST_DOCS = 1000, 16_384, 2000, 5
+PER_DOMAIN, MOST_WORDS, LEAST_DOCS = 1000, 2000, 5
 RIDGE, STEPS, TOLERANCE = 1e-3, 60, 1e-3
 _WORD = re.compile(r"\w+")
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -63,24 +64,15 @@ class Classifier:
         return (e / e.sum()).tolist()
 
     @classmethod
-    def learn(cls, rows: list[tuple[int, str]], prior: np.ndarray, rounds: int = 400, rate: float = 1.0, l2: float = 1e-3) -> Classifier:
-        """From (domain number, text). Words of at least LEAST_DOCS documents, the MOST_WORDS whose use differs most between domains.
-        The bias is corrected from the sample's shares to ``prior``."""
+    def learn(cls, rows: list[tuple[int, list[int], list[float]]], vocabulary: dict[str, int], prior: np.ndarray, rounds: int = 400, rate: float = 1.0, l2: float = 1e-3) -> Classifier:
+        """From (domain number, features). The bias is corrected from the sample's shares to ``prior``."""
         k = len(prior)
-        used: dict[str, np.ndarray] = {}
-        for d, text in rows:
-            for w in set(_WORD.findall(text.lower())):
-                used.setdefault(w, np.zeros(k))[d] += 1
-        in_domain = np.maximum(1, np.bincount([d for d, _ in rows], minlength=k)) if rows else np.ones(k)
-        spread = sorted(((-np.ptp(c / in_domain), w) for w, c in used.items() if c.sum() >= LEAST_DOCS))
-        vocabulary = {w: i for i, (_, w) in enumerate(spread[:MOST_WORDS])}
         x = np.zeros((len(rows), len(vocabulary) + 6), np.float32)
-        for i, (_, text) in enumerate(rows):
-            present, form = cls.features(text, vocabulary)
+        for i, (_, present, form) in enumerate(rows):
             x[i, present] = 1
             x[i, len(vocabulary) :] = form
         y = np.zeros((len(rows), k), np.float32)
-        y[np.arange(len(rows)), [d for d, _ in rows]] = 1
+        y[np.arange(len(rows)), [d for d, _, _ in rows]] = 1
         w, step = np.zeros((x.shape[1], k), np.float32), np.zeros((x.shape[1], k), np.float32)
         scale = rate / max(1.0, float((x * x).sum(axis=1).mean()) / 4 if len(rows) else 1.0)
         for _ in range(rounds if len(rows) else 0):
@@ -88,14 +80,22 @@ class Classifier:
             e = np.exp(z - z.max(axis=1, keepdims=True))
             step = 0.9 * step - scale * (x.T @ (e / e.sum(axis=1, keepdims=True) - y) / len(rows) + l2 * w)
             w = w + step
-        share = np.bincount([d for d, _ in rows], minlength=k) / max(1, len(rows))
+        share = np.bincount([d for d, _, _ in rows], minlength=k) / max(1, len(rows))
         seen = (share > 0) & (prior > 0)
         bias = np.where(seen, np.log(np.where(seen, prior, 1)) - np.log(np.where(seen, share, 1)), -30.0 if rows else 0.0)
         return cls(vocabulary, w.astype(np.float64), bias)
 
 
+def _word_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for domain, text in rows:
+        for w in set(_WORD.findall(text.lower())):
+            yield domain, w
+
+
 def learn_domains(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS) -> Classifier:
-    """The classifier from ``labels`` (doc_id, domain) and the texts of ``docs``; other domains than ``domains`` and nulls are passed over."""
+    """The classifier from ``labels`` (doc_id, domain) and the texts of ``docs``; other domains than ``domains`` and nulls are passed over.
+
+    Words of at least LEAST_DOCS documents of the sample, the MOST_WORDS whose use differs most between domains, are its vocabulary."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain")).where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull())
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64(F.lit(5), "doc_id")
@@ -103,11 +103,29 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] =
     for d, n in counts.items():
         under = under | ((F.col("domain") == d) & (F.shiftrightunsigned(h, 11) <= int(min(1.0, 2 * PER_DOMAIN / n) * (1 << 53))))
     chosen = known.where(under).withColumn("h", h).distinct()  # about 2 * PER_DOMAIN rows of each domain
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, LEARN_CHARS).alias("text")).where("text is not null")
-    rows = sorted((r["domain"], r["h"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("domain", "h", "text").distinct().collect())
-    sample = [(k, text) for k, d in enumerate(domains) for _, _, text in [r for r in rows if r[0] == d][:PER_DOMAIN]]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id").select("domain", "h", "text").distinct().withColumn("tie", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("domain").orderBy("h", "tie"))
+    number = F.create_map(*(x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(k))))[F.col("domain")]
+    sample = cut(found.withColumn("first", first).where(F.col("first") <= PER_DOMAIN).select(number.alias("domain"), "text").repartition(16))
+    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Classifier.learn([], {}, np.zeros(len(domains)))
+    shares = [F.sum(F.when(F.col("domain") == k, 1).otherwise(0)) / F.lit(float(n)) for k, n in sizes.items()]
+    shares += [F.lit(0.0)] if len(sizes) < len(domains) else []
+    spread = F.greatest(*shares) - F.least(*shares) if len(shares) > 1 else F.lit(0.0)
+    words = map_rows(sample, lambda: _word_rows, "domain int, word string").groupBy("word").agg(F.count("*").alias("n"), spread.alias("spread"))
+    used = words.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("spread"), "word").limit(MOST_WORDS).select("word").collect()
+    vocabulary = {r["word"]: i for i, r in enumerate(used)}
+
+    def featured(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for domain, text in rows:
+            present, form = Classifier.features(text, vocabulary)
+            yield domain, sorted(present), form
+
+    rows = [(r["domain"], r["present"], r["form"]) for r in map_rows(sample, lambda: featured, "domain int, present array<int>, form array<double>").collect()]
     total = max(1, sum(counts.values()))
-    return Classifier.learn(sample, np.array([counts.get(d, 0) / total for d in domains]))
+    return Classifier.learn(sorted(rows), vocabulary, np.array([counts.get(d, 0) / total for d in domains]))
 
 
 def replay(posteriors: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
