@@ -27,6 +27,11 @@ RESPOND = {
 _KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
 
 
+def _json(*fields: Column | str) -> Column:
+    """A JSON object of the fields; null fields are written, whatever the session says."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     """Does the JSON text fit the schema of its function? Null arguments, texts that are no JSON object, and functions without a
     schema do not. Understands type, minLength, maxLength, minimum, maximum, enum, required and additionalProperties."""
@@ -82,7 +87,8 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     arguments (JSON text), role, content. ``linked``: a call with a result, a result with a call, and null for messages.
     ``valid``: of calls only. Several calls of one id: results depend on the one with the smallest event_id; all count as
     linked. Repeated rows are returned each. Null call ids link with nothing, null conversations or event ids depend on
-    nothing (level 0). Arguments that are no JSON are serialised as a string. An empty table gives an empty table.
+    nothing (level 0). By level and then event_id, the events of a conversation are in topological order. Null fields are written
+    as null. Arguments that are no JSON are serialised as a string. An empty table gives an empty table.
     """
     e = events.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -91,7 +97,7 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     with_id = e.where("conv_id is not null and call_id is not null")
     calls = with_id.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min("event_id").alias("_call_event"))
     results = with_id.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.lit(True).alias("_answered"))
-    e = e.join(calls, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left")
+    e = e.join(calls.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     is_call, is_result = F.coalesce(F.col("kind") == "call", F.lit(False)), F.coalesce(F.col("kind") == "result", F.lit(False))
     linked = F.when(is_call, F.coalesce("_answered", F.lit(False))).when(is_result, F.col("_call_event").isNotNull())
     up = F.when(is_result & F.col("_call_event").isNotNull(), F.col("_call_event")).otherwise(F.col("parent_id"))
@@ -102,10 +108,10 @@ def link(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     e = e.join(depth, ["conv_id", "event_id"], "left")
     level = F.when(F.col("conv_id").isNull() | F.col("event_id").isNull(), F.lit(0)).otherwise(F.col("level"))
     parsed = F.try_parse_json("arguments")
-    as_call = F.to_json(F.struct(parsed.alias("arguments"), "call_id", "name", F.lit("call").alias("type")))
-    as_raw_call = F.to_json(F.struct("arguments", "call_id", "name", F.lit("call").alias("type")))
-    as_result = F.to_json(F.struct("call_id", "content", F.lit("result").alias("type")))
-    as_message = F.to_json(F.struct("content", "role", F.lit("message").alias("type")))
+    as_call = _json(parsed.alias("arguments"), "call_id", "name", F.lit("call").alias("type"))
+    as_raw_call = _json("arguments", "call_id", "name", F.lit("call").alias("type"))
+    as_result = _json("call_id", "content", F.lit("result").alias("type"))
+    as_message = _json("content", "role", F.lit("message").alias("type"))
     return e.select(
         "conv_id",
         "event_id",
@@ -131,7 +137,7 @@ def events_of(conversations: DataFrame) -> DataFrame:
         ident(turn - 1).alias("parent_id"),
         F.when(kind == "call", ident(turn)).when(kind == "result", ident(turn - 1)).alias("call_id"),
         F.when(kind == "call", "respond").alias("name"),
-        F.when(kind == "call", F.to_json(F.struct(F.col("text").alias("text"), F.length("text").alias("length")))).alias("arguments"),
+        F.when(kind == "call", _json(F.col("text").alias("text"), F.length("text").alias("length"))).alias("arguments"),
         F.col("role").alias("role"),
         F.col("text").alias("content"),
     )
