@@ -109,8 +109,9 @@ def _below(x: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     m = math.isqrt(len(cuts)) + 1
     count = lambda values: F.size(F.filter(values, lambda c: c <= x))
-    first = count(F.lit(cuts[::m])) - 1
-    return F.when(first < 0, 0).otherwise(first * m + count(F.slice(F.lit(cuts), first * m + 1, F.lit(m))))
+    literal = lambda values: F.from_json(F.lit(str(list(values))), "array<bigint>")  # noqa: E731  # one literal, however many
+    first = count(literal(cuts[::m])) - 1
+    return F.when(first < 0, 0).otherwise(first * m + count(F.slice(literal(cuts), first * m + 1, F.lit(m))))
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -128,9 +129,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     order = sorted(firsts)
     before = dict(zip(order[1:] + order[:1], order, strict=True))
     tied = F.xxhash64("text")
-    first_rows = rows.where(F.col("place").isin(list(firsts.values()))).groupBy("range", "place").agg(F.min_by(F.struct("doc_id", "text"), tied).alias("r"))
-    to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("range")] if before else F.lit(0)
-    extra = first_rows.select(to.cast("int").alias("range"), F.lit(True).alias("last"), "r.doc_id", "r.text", "place")
+    heads = docs.sparkSession.createDataFrame([(k, p, before[k]) for k, p in firsts.items()], "range int, place long, to int")
+    first_rows = rows.join(F.broadcast(heads), ["range", "place"]).groupBy("to", "place").agg(F.min_by(F.struct("doc_id", "text"), tied).alias("r"))
+    extra = first_rows.select(F.col("to").alias("range"), F.lit(True).alias("last"), "r.doc_id", "r.text", "place")
     both = rows.select("range", F.lit(False).alias("last"), "doc_id", "text", "place").union(extra).withColumn("tied", tied)
     dealt = both.repartition(parts, "range").sortWithinPartitions("range", "last", "place", "tied").select("range", "last", "doc_id", "text")
     return map_rows(dealt, lambda: _with_next, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
