@@ -31,11 +31,24 @@ _ROWS = 256
 _CLOSE = 1e-9
 
 
+def _by_dimension(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple], np.ndarray]]:
+    """(dim, rows, their unit vectors) of up to ``TILE`` rows (..., dim, packed) of one dimension."""
+    held: dict[int, list[tuple]] = {}
+    for row in rows:
+        own = held.setdefault(row[-2], [])
+        own.append(row)
+        if len(own) == TILE:
+            yield row[-2], own, _unit(np.frombuffer(b"".join(r[-1] for r in own), np.float64).reshape(len(own), -1))
+            held[row[-2]] = []
+    for dim, own in held.items():
+        if own:
+            yield dim, own, _unit(np.frombuffer(b"".join(r[-1] for r in own), np.float64).reshape(len(own), -1))
+
+
 def _moments(rows: Iterator[tuple]) -> Iterator[tuple]:
     sums: dict[int, np.ndarray] = {}
-    for _, _, dim, packed in rows:
-        v = _unit(np.frombuffer(packed, np.float64)[None])[0]
-        sums[dim] = sums.get(dim, 0) + np.outer(v, v)
+    for dim, _, v in _by_dimension(rows):
+        sums[dim] = sums.get(dim, 0) + v.T @ v
     for dim, m in sums.items():
         for i in range(dim):
             for j in range(i + 1):
@@ -97,8 +110,9 @@ def _tiles(basis: dict[int, np.ndarray], tile: int):
 
 def _first_coordinate(basis: dict[int, np.ndarray]):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for vec_id, label, dim, packed in rows:
-            yield vec_id, label, dim, packed, float(_unit(np.frombuffer(packed, np.float64)[None])[0] @ basis[dim][:, 0])
+        for dim, own, v in _by_dimension(rows):
+            for row, first in zip(own, (v @ basis[dim][:, 0]).tolist(), strict=True):
+                yield *row, first
 
     return run
 
@@ -181,8 +195,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
         F.lit(0.0),
         lambda s, x: s + x * x,
     )
-    others = boxes.select("label", "dim", *(F.col(c).alias(f"other_{c}") for c in ("tile", "low", "high")))
-    pairs = boxes.join(others, ["label", "dim"]).where("tile <= other_tile").where(gap <= 2 * (1 - threshold) + _CLOSE).select("tile", "other_tile")
+    # Tiles meet by bands of their first coordinate, as wide as two unit vectors at the threshold can be apart.
+    width = max(float(np.sqrt(2 * (1 - threshold) + _CLOSE)), 1e-3)
+    band = lambda c, more: (F.floor(F.col(c)[0] / width) + more).cast("int")
+    others = boxes.select("label", "dim", F.explode(F.sequence(band("low", -1), band("high", 1))).alias("band"), *(F.col(c).alias(f"other_{c}") for c in ("tile", "low", "high")))
+    banded = boxes.withColumn("band", F.explode(F.sequence(band("low", 0), band("high", 0))))
+    near = banded.join(others, ["label", "dim", "band"]).where("tile <= other_tile").where(gap <= 2 * (1 - threshold) + _CLOSE)
+    pairs = near.select("tile", "other_tile").distinct()
     pair = F.concat_ws(" ", "tile", "other_tile").alias("pair")
     own = F.when(F.col("tile") == F.col("other_tile"), 2).otherwise(0).alias("side")
     roles = pairs.select(pair, own, "tile").union(pairs.where("tile < other_tile").select(pair, F.lit(1).alias("side"), F.col("other_tile").alias("tile")))
