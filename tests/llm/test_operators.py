@@ -481,18 +481,31 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).collect() == []
 
 
+def test_host_and_path_of_the_table():
+    assert urls.split_url("HTTP://A.b/C?d://e") == ("a.b", "/C") and urls.split_url("x") == ("", "")
+
+
 def test_url_model():
+    """Five folds, by host: no host of a fold is in the table that it is judged by."""
     table = urls.labelled_urls()
-    train, held = table[::2], table[1::2]
-    w = urls.train(train)
-    right = sum((urls.probability(*urls.split_url(u), w) >= 0.5) == bool(label) for u, label in held)
-    assert right / len(held) > 0.9
+    hosts = [urls.split_url(u)[0].removeprefix("www.") for u, _ in table]
+    assert len(set(hosts)) == len(hosts)
+    random.Random(5).shuffle(table)
+    right = 0
+    for k in range(5):
+        w = urls.train([r for i, r in enumerate(table) if i % 5 != k])
+        right += sum((urls.probability(*urls.split_url(u), w) >= 0.5) == bool(label) for u, label in table[k::5])
+    assert right / len(table) > 0.85
     assert (urls.train(table) == urls.train(table)).all()
-    with pytest.raises(ValueError):
-        urls.train(table * 200)
     assert urls.probability("x", "", urls.train([])) == 0.5
 
 
+def test_large_labelled_table_is_sampled(monkeypatch):
+    monkeypatch.setattr(urls, "MOST_LABELLED", 20)
+    table = urls.labelled_urls()
+    assert (urls.train(table) == urls.train(table[::-1])).all() and (urls.train(table) != 0).any()
+
+
 # 6
 
 
@@ -595,6 +608,16 @@ def test_mixing(spark, odd, empty):
         mixing.rates(docs, known, {"clean": -1.0})
 
 
+def test_mixing_learns_from_words_far_into_a_text(spark):
+    rng = random.Random(47)
+    rows = [(i, prose(rng, 5000) + (" vermin beast" if i % 2 else " garden music"), "en", "s") for i in range(80)]
+    docs = frame(spark, rows)
+    known = spark.createDataFrame([(i, "toxic" if i % 2 else "clean") for i in range(40)], "doc_id long, domain string")
+    model = mixing.learn_domains(docs, known, ("clean", "toxic"))
+    assert {"vermin", "garden"} <= model.vocabulary.keys()
+    assert all((model.posterior(t)[1] > 0.5) == bool(i % 2) for i, t, *_ in rows[40:])
+
+
 # 8
 
 
@@ -618,6 +641,13 @@ def test_language(spark, odd, empty):
         assert r["lang_pred"] in {"und", *dictionaries} and (r["lang_pred"] != "und" or r["rejected"])
     assert language.learn(empty) == {} and language.identify(empty, dictionaries).collect() == []
     assert {r["lang_pred"] for r in language.identify(docs, {}).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        language.identify(docs, dictionaries, keep=["doc_id", "score"])
+    many = frame(spark, [(i, text("en", 50), f"l{i % 300}", "s") for i in range(600)])
+    assert len(language.learn(many)) == language.MOST_LANGUAGES
+    late = [(i, text("fr", 1500) + " " + text(lang, 3000), lang, "s") for i, lang in enumerate(["en", "de"] * 30)]
+    learned = language.learn(frame(spark, late))
+    assert sum(language.Compressors(learned).classify(text(lang, 60))[0] == lang for lang in ["en", "de"] * 20) >= 38
     assert language.Compressors({"en": b"", "de": dictionaries["de"]}).classify(text("de", 200))[0] == "de"
 
 
