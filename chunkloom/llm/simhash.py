@@ -18,6 +18,7 @@ about ``TILE`` fingerprints, each pair of tiles is one record of the shuffle, an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -140,10 +141,10 @@ def _compare(radius: int):
     return run
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span all links within the radius."""
     counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("bits"))
-    split = {r["bits"]: -(-r["n"] // tile) for r in counted.groupBy("bits").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    split = _tile_counts({r["bits"]: r["n"] for r in counted.groupBy("bits").agg(F.count("*").alias("n")).collect()}, tile)  # 65 rows at most
     if not split:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     keyed = counted.select("bits", _parts_of(F.col("bits"), split, "fp").alias("part"), "fp")
@@ -152,7 +153,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     return map_rows(dealt, lambda: _compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id it is linked to, also by way of others).
 
     Null, empty and blank texts have the fingerprint zero and are linked like any other. Repeated rows are returned each;
@@ -333,6 +334,13 @@ def _compare_wide(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield from of_tiles(left[1], mine, False)
 
 
+def _tile_counts(sizes: dict[int, int], tile: int | None) -> dict[int, int]:
+    """The tiles of each group. By default tiles grow with the root of the number of nodes, up to ``TILE``: small tables make many
+    tasks too, and of large ones each tile is not sent too often. They change the time only."""
+    tile = tile or min(TILE, 16 * math.isqrt(sum(sizes.values())) + 1)
+    return {group: -(-n // tile) for group, n in sizes.items()}
+
+
 def _pairs_of_tiles(tiles: DataFrame, counts: dict[int, int], reach: int, group: str, *packed: str) -> DataFrame:
     """(pair, side, packed ...) of every pair of tiles whose groups are no more than ``reach`` apart, for ``_compare``. ``counts``: the
     tiles of each group. The partners of a tile follow from its own place and the counts alone; it is sent to each of its pairs."""
@@ -358,7 +366,7 @@ def _similar_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield a, b
 
 
-def similar_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def similar_documents(docs: DataFrame, tile: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash (xxhash64 of the text), root (a long that similar texts share, also by way of others).
 
     Texts without words (null, empty, blank) have equal sets. Null doc_ids and repeated rows are returned each; other columns
@@ -370,7 +378,7 @@ def similar_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     prints = cut(map_rows(hashed, lambda: _wide_rows, "doc_id long, text_hash long, key long, n int, fp binary"))
     nodes = prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"))
     nodes = cut(nodes.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(_BAND)))).cast("int")))
-    counts = {r["band"]: -(-r["n"] // tile) for r in nodes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # some hundred rows at most
+    counts = _tile_counts({r["band"]: r["n"] for r in nodes.groupBy("band").agg(F.count("*").alias("n")).collect()}, tile)  # some hundred rows at most
     if not counts:
         return prints.select("doc_id", "text_hash", F.col("key").alias("root"))
 
@@ -398,7 +406,7 @@ def similar_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return prints.join(rooted, "key", "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 
 
-def first_of_each(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def first_of_each(docs: DataFrame, tile: int | None = None) -> DataFrame:
     """``docs``, of each group of similar texts (``similar_documents``) only the row with the smallest doc_id; rows without one come
     last. Of equal rows, and of equal doc_ids with different similar texts, one stays. All columns are returned."""
     mine, row, kept_id, kept_hash = fresh(docs.columns, "_text_hash", "_row", "_kept_id", "_kept_hash")
