@@ -17,15 +17,20 @@ from .functions import geometry
 from .spec import SPARK_TYPES, ArraySpec
 
 
+MOST_ON_DRIVER = 1 << 24
+
+
 @dataclass(frozen=True)
 class ChunkedArray:
     """``df`` has the columns d0 .. dn-1 (long) and value. If it was read from a store it also has ``chunk_group`` and ``nchunk``,
-    and reads of a region are pruned by them. ``meta`` and ``vlmeta`` are the fixed and the variable-length metadata layers."""
+    and reads of a region are pruned by them; one that has grown or shrunk has ``parts``, each with the geometry it was written in.
+    ``meta`` and ``vlmeta`` are the fixed and the variable-length metadata layers."""
 
     df: DataFrame
     spec: ArraySpec
     meta: dict[str, bytes] = field(default_factory=dict)
     vlmeta: dict[str, bytes] = field(default_factory=dict)
+    parts: tuple[ChunkedArray, ...] = ()
 
     @classmethod
     def of(cls, df: DataFrame, spec: ArraySpec, coords: Sequence[Column], value: Column) -> ChunkedArray:
@@ -89,7 +94,9 @@ class ChunkedArray:
         return packed.select("nchunk", "nblock", F.transform("b", lambda x: x["offset"]).alias("offsets"), F.transform("b", lambda x: x["value"]).alias("values"))
 
     def to_rows(self) -> list:
-        """All values in C order, on the driver: for small arrays."""
+        """All values in C order, on the driver: for arrays of up to ``MOST_ON_DRIVER`` items."""
+        if self.spec.nitems > MOST_ON_DRIVER:
+            raise InvalidParam(f"{self.spec.nitems} items are too many for the driver")
         return [r["value"] for r in self.cells().select(geometry.flat_index(self.spec).alias("f"), "value").orderBy("f").collect()]
 
     def to_numpy(self):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product
 
@@ -34,8 +34,27 @@ def prune_to(array: ChunkedArray, first: int, last: int, listed: Sequence[int] |
     return df if listed is None else df.where(F.col("nchunk").isin(sorted(listed)))
 
 
+def _of_parts(array: ChunkedArray, pruned: Callable[[ChunkedArray], DataFrame]) -> DataFrame:
+    """The cells of the parts, each pruned by the geometry it was written in."""
+    return reduce(DataFrame.unionByName, [pruned(p).select(*array.dims, "value") for p in array.parts])
+
+
+def _prune_points(array: ChunkedArray, points: Sequence[Sequence[int]]) -> DataFrame:
+    """The stored chunks that hold any of the points."""
+    if array.parts:
+        return _of_parts(array, lambda p: _prune_points(p, [x for x in points if all(i < n for i, n in zip(x, p.spec.shape, strict=True))]))
+    if "nchunk" not in array.df.columns:
+        return array.df
+    touched = {array.spec.address(x)[0] for x in points}
+    if not touched:
+        return array.df.where(F.lit(False))
+    return prune_to(array, min(touched), max(touched), sorted(touched) if len(touched) <= MOST_LISTED else None)
+
+
 def prune(array: ChunkedArray, start: Sequence[int], stop: Sequence[int]) -> DataFrame:
     """The stored chunks a region touches."""
+    if array.parts:
+        return _of_parts(array, lambda p: prune(p, [min(a, n) for a, n in zip(start, p.spec.shape, strict=True)], [min(b, n) for b, n in zip(stop, p.spec.shape, strict=True)]))
     if "nchunk" not in array.df.columns:
         return array.df
     box = array.spec.chunk_box(start, stop)
@@ -49,6 +68,8 @@ def prune(array: ChunkedArray, start: Sequence[int], stop: Sequence[int]) -> Dat
 
 def prune_outer(array: ChunkedArray, selection: Sequence[Sequence[int]]) -> DataFrame:
     """The stored chunks an outer selection touches: the listed ones if they are few, else their range."""
+    if array.parts:
+        return _of_parts(array, lambda p: prune_outer(p, [[x for x in wanted if x < n] for wanted, n in zip(selection, p.spec.shape, strict=True)]))
     parts = [sorted({x // c for x in wanted}) for wanted, c in zip(selection, array.spec.chunkshape, strict=True)]
     if not all(parts):
         return array.df.where(F.lit(False))
@@ -105,9 +126,8 @@ def take(array: ChunkedArray, coords: DataFrame | Sequence[int]) -> DataFrame:
         if bad := [x for x in coords if not 0 <= x < n]:
             raise InvalidIndex(f"{bad[0]} is not in an array of {n} items")
         wanted = _given(array, coords, "flat_idx").withColumnRenamed("pos_flat_idx", "pos")
-        if "nchunk" in array.df.columns and len(coords):
-            touched = {array.spec.address(array.spec.to_multidim(x))[0] for x in coords}
-            source = prune_to(array, min(touched), max(touched), sorted(touched) if len(touched) <= MOST_LISTED else None)
+        if len(coords) and ("nchunk" in array.df.columns or array.parts):
+            source = _prune_points(array, [array.spec.to_multidim(x) for x in coords])
     cells = source.select(geometry.flat_index(array.spec).alias("flat_idx"), "value")
     return wanted.join(cells, "flat_idx", "left").select("pos", "flat_idx", "value")
 

@@ -7,11 +7,15 @@ is never seen; growth adds cells and then publishes the new shape. All access go
 
 from __future__ import annotations
 
+import functools
 import math
+import os
+import threading
 import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,31 +54,76 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 
 
 class StoreLock:
-    """Exclusive use of a store by one writer, over several operations: ``with StoreLock(spark, path): ...``.
+    """Exclusive use of a store by one writer: ``with StoreLock(spark, path): ...``. All writers here take it, and one that holds
+    it already for several operations goes on.
 
-    The lock is a file that only one caller can create; whoever waits tries again until ``wait_s`` has passed. Readers need no
-    lock. It may be entered again by its holder."""
+    The lock is a file that only one caller can create; whoever waits tries again until ``wait_s`` has passed. A lock older than
+    ``stale_s`` is taken for a dead writer's and removed, by one of those who wait. Readers need no lock."""
 
-    def __init__(self, spark: SparkSession, path: str, wait_s: float = 60.0):
-        self.spark, self.path, self.wait_s, self.depth = spark, f"{path}.lock", wait_s, 0
+    def __init__(self, spark: SparkSession, path: str, wait_s: float = 600.0, stale_s: float = 24 * 3600.0):
+        self.spark, self.path, self.wait_s, self.stale_s = spark, f"{path}.lock", wait_s, stale_s
+
+    def _key(self) -> tuple[str, int]:
+        return self.path, threading.get_ident()
 
     def __enter__(self) -> StoreLock:
-        if not self.depth:
+        if not _HELD.get(self._key()):
             fs, p = _fs(self.spark, self.path)
             until = time.monotonic() + self.wait_s
-            while not fs.createNewFile(p):
+            while not self._create(fs, p):
+                self._remove_stale(fs, p)
                 if time.monotonic() >= until:
                     raise ChunkloomError(f"{self.path} is held by another writer")
                 time.sleep(0.05)
-        self.depth += 1
+        _HELD[self._key()] = _HELD.get(self._key(), 0) + 1
         return self
 
+    def _create(self, fs, p) -> bool:
+        """Make the file, unless it exists. Local file systems are asked directly, as Hadoop's look first and create then."""
+        if fs.getScheme() == "file":
+            try:
+                os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            fs.create(p, False).close()
+            return True
+        except Py4JJavaError:
+            return False
+
+    def _remove_stale(self, fs, p) -> None:
+        try:
+            age = time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+        except Py4JJavaError:  # the holder has just let go of it
+            return
+        if age > self.stale_s:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.{uuid.uuid4().hex}")
+            if fs.rename(p, gone):
+                fs.delete(gone, False)
+
     def __exit__(self, *_) -> None:
-        self.depth -= 1
-        if not self.depth:
+        _HELD[self._key()] -= 1
+        if not _HELD[self._key()]:
+            del _HELD[self._key()]
             remove(self.spark, self.path)
 
 
+#: How often each thread has entered the lock of a path.
+_HELD: dict[tuple[str, int], int] = {}
+
+
+def _locked(write):
+    """A writer of (spark, path, ...) that holds the store's lock from reading the newest version to publishing the next."""
+
+    @functools.wraps(write)
+    def run(spark: SparkSession, path: str, *args, **kwargs):
+        with StoreLock(spark, path):
+            return write(spark, path, *args, **kwargs)
+
+    return run
+
+
 def per_group(spec: ArraySpec) -> int:
     return max(1, CELLS_PER_GROUP // max(1, math.prod(spec.chunkshape)))
 
@@ -88,7 +137,8 @@ def _write_cells(array: ChunkedArray, path: str, part: str, group: int) -> None:
     cells = array.cells().withColumn("nchunk", geometry.chunk_number(array.spec))
     cells = cells.withColumn("chunk_group", geometry.div(F.col("nchunk"), group))
     n = max(1, math.ceil(array.spec.nchunks / group))
-    sorted_cells = cells.repartition(n, "chunk_group", "nchunk") if n > 1 else cells.coalesce(max(1, min(8, array.spec.nitems >> 20)))
+    # A group has a bounded number of cells and goes to one task, which writes one file.
+    sorted_cells = cells.repartition(n, "chunk_group") if n > 1 else cells.coalesce(max(1, min(8, array.spec.nitems >> 20)))
     sorted_cells.sortWithinPartitions("chunk_group", "nchunk", *array.dims).write.mode("errorifexists").partitionBy("chunk_group").parquet(f"{path}/cells/{part}")
 
 
@@ -102,12 +152,17 @@ def save(array: ChunkedArray, path: str, array_id: str = "0") -> None:
 
 def save_append(array: ChunkedArray, path: str, array_id: str) -> str:
     """Another array in the same store, under an id of its own."""
+    with StoreLock(array.df.sparkSession, path):
+        return _save_append(array, path, array_id)
+
+
+def _save_append(array: ChunkedArray, path: str, array_id: str) -> str:
     spark, group, part = array.df.sparkSession, per_group(array.spec), uuid.uuid4().hex
     if exists(spark, f"{path}/meta") and spark.read.schema(_META).parquet(f"{path}/meta").where(F.col("array_id") == array_id).limit(1).count():
         raise StoreExists(f"{path}: {array_id}")
     _write_cells(array, path, part, group)
     layers = [(k, "fixed", bytes(v)) for k, v in array.meta.items() if not k.startswith("_")] + [(k, "vl", bytes(v)) for k, v in array.vlmeta.items()]
-    _commit(spark, path, 1, array_id, array.spec, group, [_part(part, array.spec.shape)], layers)
+    _commit(spark, path, 1, array_id, array.spec, group, [_part(part, array.spec.shape, array.spec.shape)], layers)
     return array_id
 
 
@@ -127,32 +182,39 @@ def open_array(spark: SparkSession, path: str, array_id: str = "0") -> ChunkedAr
     """The newest version. Slices of it read only the groups and row groups of the chunks they touch."""
     row = _newest(spark, path, array_id)
     spec = ArraySpec.from_json(row["spec"])
-    frames = [_read_part(spark, path, part) for part in row["parts"]]
-    df = frames[0]
-    for other in frames[1:]:
-        df = df.unionByName(other)
     meta = {x["name"]: bytes(x["content"]) for x in row["layers"] if x["kind"] == "fixed"}
     vlmeta = {x["name"]: bytes(x["content"]) for x in row["layers"] if x["kind"] == "vl"}
-    if len(frames) == 1:
-        meta["_chunks_per_group"] = str(row["chunks_per_group"]).encode()
-    else:
-        df = df.drop("nchunk", "chunk_group")
-    return ChunkedArray(df, spec, meta, vlmeta)
+    prunable = {"_chunks_per_group": str(row["chunks_per_group"]).encode()}
+    parts = tuple(ChunkedArray(df, spec.with_shape(shape), prunable) for df, shape in (_read_part(spark, path, part) for part in row["parts"]))
+    if len(parts) == 1 and parts[0].spec == spec:
+        return ChunkedArray(parts[0].df, spec, meta | prunable, vlmeta)
+    df = parts[0].cells()
+    for other in parts[1:]:
+        df = df.unionByName(other.cells())
+    return ChunkedArray(df, spec, meta, vlmeta, parts)
+
+
+def _part(folder: str, limits: Sequence[int], shape: Sequence[int]) -> str:
+    """A part's folder, up to where it is read, and the shape by which its chunks are numbered."""
+    return ":".join([folder, *(",".join(map(str, x)) for x in (limits, shape))])
 
 
-def _part(folder: str, limits: Sequence[int]) -> str:
-    return f"{folder}:{','.join(map(str, limits))}"
+def _split(part: str) -> tuple[str, list[int], list[int]]:
+    folder, *lists = part.split(":")
+    limits, shape = ([int(x) for x in text.split(",")] if text else [] for text in lists)
+    return folder, limits, shape
 
 
-def _read_part(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """The cells of a part, up to its limits: a shrunk array keeps its files, and what lies beyond is never read again."""
-    folder, _, limits = part.partition(":")
+def _read_part(spark: SparkSession, path: str, part: str) -> tuple[DataFrame, list[int]]:
+    """The cells of a part, up to its limits, and its shape: a shrunk array keeps its files, and what lies beyond is never read again."""
+    folder, limits, shape = _split(part)
     df = spark.read.parquet(f"{path}/cells/{folder}")
-    for i, n in enumerate(limits.split(",") if limits else []):
-        df = df.where(F.col(f"d{i}") < int(n))
-    return df
+    for i, n in enumerate(limits):
+        df = df.where(F.col(f"d{i}") < n)
+    return df, shape
 
 
+@_locked
 def append_cells(spark: SparkSession, path: str, cells: ChunkedArray, axis: int, array_id: str = "0") -> int:
     """Grow a store along an axis: the new cells are written, then the new shape is published. Returns the new version."""
     row = _newest(spark, path, array_id)
@@ -163,10 +225,11 @@ def append_cells(spark: SparkSession, path: str, cells: ChunkedArray, axis: int,
     moved = cells.cells().withColumn(f"d{axis}", F.col(f"d{axis}") + F.lit(spec.shape[axis]))
     part = uuid.uuid4().hex
     _write_cells(ChunkedArray(moved, grown), path, part, row["chunks_per_group"])
-    _commit(spark, path, row["version"] + 1, array_id, grown, row["chunks_per_group"], [*row["parts"], _part(part, grown.shape)], [tuple(x) for x in row["layers"]])
+    _commit(spark, path, row["version"] + 1, array_id, grown, row["chunks_per_group"], [*row["parts"], _part(part, grown.shape, grown.shape)], [tuple(x) for x in row["layers"]])
     return row["version"] + 1
 
 
+@_locked
 def shrink(spark: SparkSession, path: str, shape: Sequence[int], array_id: str = "0") -> int:
     """Publish a smaller shape; cells beyond it are no longer read. To grow again, the cells must be written."""
     row = _newest(spark, path, array_id)
@@ -175,8 +238,8 @@ def shrink(spark: SparkSession, path: str, shape: Sequence[int], array_id: str =
         raise InvalidParam("not a smaller shape")
     cut = []
     for part in row["parts"]:
-        folder, _, limits = part.partition(":")
-        cut.append(_part(folder, [min(int(a), b) for a, b in zip(limits.split(",") if limits else [], shape, strict=True)]))
+        folder, limits, written = _split(part)
+        cut.append(_part(folder, [min(a, b) for a, b in zip(limits, shape, strict=True)], written))
     _commit(spark, path, row["version"] + 1, array_id, spec.with_shape(shape), row["chunks_per_group"], cut, [tuple(x) for x in row["layers"]])
     return row["version"] + 1
 
@@ -191,6 +254,7 @@ def refresh(spark: SparkSession, path: str, array: ChunkedArray, array_id: str =
     return True, open_array(spark, path, array_id)
 
 
+@_locked
 def set_layer(spark: SparkSession, path: str, name: str, content: bytes, kind: str = "fixed", array_id: str = "0", update: bool = False) -> None:
     """Add or replace a metadata layer. Fixed ones keep their length when replaced."""
     row = _newest(spark, path, array_id)
@@ -219,6 +283,7 @@ def has_layer(spark: SparkSession, path: str, name: str, kind: str = "fixed", ar
     return any(x["name"] == name and x["kind"] == kind for x in _newest(spark, path, array_id)["layers"])
 
 
+@_locked
 def delete_layer(spark: SparkSession, path: str, name: str, array_id: str = "0") -> int:
     """Delete a variable-length layer; returns how many stay."""
     row = _newest(spark, path, array_id)

@@ -1,4 +1,5 @@
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -52,6 +53,58 @@ def test_store(spark, tmp_path, monkeypatch):
     assert store.remove(spark, path + "2")
 
 
+def test_growth_keeps_pruning(spark, tmp_path, monkeypatch):
+    """Each part is pruned by the geometry it was written in, also after growth or a cut along an inner dimension."""
+    monkeypatch.setattr(store, "CELLS_PER_GROUP", 50)
+    path = str(tmp_path / "s")
+    store.save(ramp(spark, (20, 10), (5, 5)), path)
+    store.append_cells(spark, path, ramp(spark, (20, 4), (5, 5)), 1)
+    whole = np.concatenate([np.arange(200.0).reshape(20, 10), np.arange(80.0).reshape(20, 4)], 1)
+    a = store.open_array(spark, path)
+    assert len(a.parts) == 2 and a.to_numpy().tolist() == whole.tolist()
+    part = select.get_slice(a, (11, 3), (14, 13))
+    assert part.to_numpy().tolist() == whole[11:14, 3:13].tolist()
+    plan = part.df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("PartitionFilters: [isnotnull(chunk_group") == 2
+    assert [r["value"] for r in select.take(a, [279, 0, 153]).orderBy("pos").collect()] == [whole.ravel()[i] for i in (279, 0, 153)]
+    assert select.outer_index(a, [[19, 2], [13, 0, 9]]).to_numpy().tolist() == whole[np.ix_([19, 2], [13, 0, 9])].tolist()
+    store.shrink(spark, path, (20, 4))
+    b = store.open_array(spark, path)
+    assert select.get_slice(b, (7, 1), (13, 4)).to_numpy().tolist() == whole[7:13, 1:4].tolist()
+
+
+def test_one_file_a_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CELLS_PER_GROUP", 100)
+    path = tmp_path / "s"
+    store.save(ramp(spark, (400, 10), (5, 5)), str(path))
+    groups = list(path.glob("cells/*/chunk_group=*"))
+    assert len(groups) == 40 and all(len(list(g.glob("*.parquet"))) == 1 for g in groups)
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.save(ramp(spark, (4,), (2,)), path)
+    threads = [threading.Thread(target=store.append_cells, args=(spark, path, ramp(spark, (3,), (2,)), 0)) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert store.open_array(spark, path).to_rows() == [0, 1, 2, 3] + [0, 1, 2] * 3
+    with store.StoreLock(spark, path):
+        assert store.append_cells(spark, path, ramp(spark, (1,), (1,)), 0) == 5
+    assert not store.exists(spark, path + ".lock")
+
+
+def test_lock_of_a_dead_writer(spark, tmp_path):
+    path = str(tmp_path / "s")
+    (tmp_path / "s.lock").write_bytes(b"")
+    with pytest.raises(ChunkloomError):
+        store.StoreLock(spark, path, wait_s=0.1).__enter__()
+    with store.StoreLock(spark, path, wait_s=5, stale_s=-1):
+        assert store.exists(spark, path + ".lock")
+    assert [x.name for x in tmp_path.iterdir() if x.name.startswith("s.lock")] == []
+
+
 def test_layers(spark, tmp_path):
     path = str(tmp_path / "s")
     store.save(ramp(spark, (4,), (2,)), path)
@@ -71,9 +124,19 @@ def test_layers(spark, tmp_path):
 def test_lock(spark, tmp_path):
     path = str(tmp_path / "s")
     mine, other = store.StoreLock(spark, path), store.StoreLock(spark, path, wait_s=0.1)
-    with mine, mine:
-        with pytest.raises(ChunkloomError):
+    failed = []
+
+    def wait():
+        try:
             other.__enter__()
+        except ChunkloomError as e:
+            failed.append(e)
+
+    with mine, mine:
+        thread = threading.Thread(target=wait)
+        thread.start()
+        thread.join()
+        assert len(failed) == 1
     with other:
         assert store.exists(spark, path + ".lock")
     assert not store.exists(spark, path + ".lock")
@@ -91,6 +154,44 @@ def test_codecs(spark, name):
         codecs.register(codecs.Codec(5, "mine", None, None))
 
 
+def test_user_codec(spark):
+    turned = bytes(255 - i for i in range(256))
+    if 210 not in codecs.registered():
+        codecs.register(codecs.Codec(210, "mine", lambda raw, level: raw.translate(turned), lambda raw: raw.translate(turned)))
+    rows = [(0, [1.5, 2.5, -3.0]), (1, [0.0] * 50)]
+    encoded = codecs.encode_chunks(spark.createDataFrame(rows, "nchunk long, values array<double>"), "f8", "mine")
+    assert {r["nchunk"]: r["values"] for r in codecs.decode_chunks(encoded, "f8", "double").collect()} == dict(rows)
+    info = {r["nchunk"]: r for r in codecs.payload_info(encoded, "f8").collect()}
+    assert (info[0]["codec"], info[0]["nbytes"], info[0]["is_valid"]) == ("mine", 24, True) and info[1]["special"] == "zero"
+    broken = encoded.selectExpr("nchunk", "nitems", "special", "unhex('63') AS payload")
+    assert not any(r["is_valid"] for r in codecs.payload_info(broken, "f8").collect())
+    assert {"zstd", "zlib"} <= codecs.library_versions().keys()
+    with pytest.raises(InvalidParam):
+        codecs.register(codecs.Codec(210, "other", None, None))
+
+
+def test_user_io(spark, tmp_path):
+    """A backend that stands in no module of the executors, with whole numbers that doubles cannot hold."""
+
+    class Reversed(datasource.Backend):
+        def size(self, path):
+            return len(open(path, "rb").read())
+
+        def read(self, path, offset, length):
+            return open(path, "rb").read()[::-1][offset : offset + length]
+
+    if "reversed" not in datasource.backends():
+        datasource.register_io("reversed", Reversed())
+    values = np.array([1 << 60, (1 << 53) + 1, -5], "<i8")
+    raw = bytes([0]) + values.tobytes()
+    (tmp_path / "f").write_bytes((raw * 2)[::-1])
+    df = datasource.read_chunks(spark, str(tmp_path / "f"), [(0, 25, 3, "none"), (25, 25, 3, "none")], "i8", "reversed")
+    assert df.schema["value"].dataType.simpleString() == "bigint" and df.rdd.getNumPartitions() == 1
+    assert [r["value"] for r in df.orderBy("nchunk", "i").collect()] == values.tolist() * 2
+    with pytest.raises(InvalidParam):
+        datasource.read_chunks(spark, "x", [], io="none such")
+
+
 def test_data_source(spark, tmp_path):
     code = codecs.codec("zlib")
     parts = [np.arange(5.0), np.full(3, 2.0)]
