@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -9,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from . import __version__
-from .errors import InvalidParam
+from .errors import ChunkloomError, InvalidParam
 
 # Names and numbers of codecs, and the codec Parquet uses for each.
 CODECS = {"snappy": 0, "lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
@@ -20,7 +22,7 @@ FILTERS = {"none": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3, "trunc_prec": 4
 
 @dataclass(frozen=True)
 class WriteOptions:
-    """How arrays are encoded."""
+    """How arrays are encoded: see ``operators.blocks``. The item's size follows from the array; threads are Spark's tasks."""
 
     codec: str = "snappy"
     level: int = 5
@@ -31,6 +33,8 @@ class WriteOptions:
 
 @dataclass(frozen=True)
 class ReadOptions:
+    """How arrays are decoded: blocks (numbers inside each chunk) to be left out."""
+
     threads: int = 1
     masked_blocks: tuple[int, ...] = field(default_factory=tuple)
 
@@ -97,6 +101,17 @@ def partitions_for(nbytes: int, cores: int, tuner: str | None = None, target: in
     return max(2 * cores, -(-nbytes // target), 1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the one that checkpoints go to already. In
+    local mode a temporary one will do; on a cluster without either this is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ChunkloomError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="chunkloom-")
+
+
 class Timer:
     """Seconds and nanoseconds since it was made."""
 

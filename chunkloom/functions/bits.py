@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParam
 
-#: Bits of the fraction, the largest power of two, and the power of two below which numbers are subnormal.
+#: Bits of the fraction.
 FRACTION = {"f4": 23, "f8": 52}
-_LEAST_NORMAL = {"f4": 2.0**-126, "f8": 2.0**-1022}
 
 
 def byte_of(value: Column, k: int | Column) -> Column:
@@ -34,8 +35,7 @@ def int_trunc(value: Column, meta: int, bits: int) -> Column:
 def trunc_precision(value: Column, meta: int, dtype: str = "f8") -> Column:
     """Zero the low bits of the fraction of floats: meta >= 0 keeps that many bits, meta < 0 drops that many.
 
-    Exact: the fraction is cut by dividing by a power of two, which loses nothing. NaN, infinities and zeros stay; the sign
-    of zero too. Subnormals are cut in units of the smallest one, as cutting their bits does.
+    The bits themselves are masked, in Arrow batches. NaN, infinities, zeros and nulls stay; the sign of zero too.
     """
     fraction = FRACTION.get(dtype)
     if fraction is None:
@@ -43,22 +43,18 @@ def trunc_precision(value: Column, meta: int, dtype: str = "f8") -> Column:
     keep = meta if meta >= 0 else fraction + meta
     if not 0 < keep <= fraction:
         raise InvalidParam(f"{meta} leaves no fraction bits of {fraction}, or more than there are")
-    x = F.abs(value.cast("double"))
-    # Numbers are brought to where powers of two and logarithms are exact; scaling by a power of two and back is.
-    tiny = x < _LEAST_NORMAL[dtype]
-    unit = _LEAST_NORMAL[dtype] * 2.0 ** -min(keep, 52)
-    e = F.floor(F.log2(x)).cast("int")
-    power = lambda k: F.pow(F.lit(2.0), k.cast("double"))
-    half = lambda k: power(F.floor(k / 2))
-    rest = lambda k: power(k - F.floor(k / 2))
-    e = F.when(x / half(e) / rest(e) < 1, e - 1).when(x / half(e) / rest(e) >= 2, e + 1).otherwise(e)
-    mantissa = x / half(e) / rest(e)
-    cut = F.floor(mantissa * 2.0**keep).cast("double") / 2.0**keep * half(e) * rest(e)
-    small = F.floor(x / unit).cast("double") * unit
-    out = F.when(tiny, small).otherwise(cut)
-    signed = F.when(value < 0, -out).otherwise(out)
-    odd = value.isNull() | F.isnan(value) | (x == float("inf")) | (x == 0)
-    return F.when(odd, value.cast("double")).otherwise(signed).cast("float" if dtype == "f4" else "double")
+    whole = np.dtype("<i4" if dtype == "f4" else "<i8")
+    mask = whole.type(-1 << (fraction - keep))
+    kind = pa.float32() if dtype == "f4" else pa.float64()
+
+    @F.arrow_udf("float" if dtype == "f4" else "double")
+    def cut(x: pa.Array) -> pa.Array:
+        x = x.cast(kind)
+        plain = x.fill_null(0).to_numpy(zero_copy_only=False)
+        masked = (plain.view(whole) & mask).view(plain.dtype)
+        return pa.array(np.where(np.isfinite(plain), masked, plain), kind, mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    return cut(value)
 
 
 def bounded_error(value: Column, digits: int) -> Column:

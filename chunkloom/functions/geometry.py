@@ -57,3 +57,9 @@ def block_offset(spec: ArraySpec, columns: Sequence[Column] | None = None) -> Co
 def storage_position(spec: ArraySpec, columns: Sequence[Column] | None = None) -> Column:
     items, block = math.prod(spec.extchunkshape), math.prod(spec.blockshape)
     return chunk_number(spec, columns) * F.lit(items).cast("long") + block_number(spec, columns) * F.lit(block).cast("long") + block_offset(spec, columns)
+
+
+def from_block(spec: ArraySpec, nchunk: Column, nblock: Column, offset: Column) -> list[Column]:
+    """The coordinates of a place in a block."""
+    of_chunk, of_block, inside = (from_flat(ArraySpec(shape), c) for shape, c in ((spec.chunk_grid, nchunk), (spec.block_grid, nblock), (spec.blockshape, offset)))
+    return [c * F.lit(m).cast("long") + b * F.lit(n).cast("long") + i for c, m, b, n, i in zip(of_chunk, spec.chunkshape, of_block, spec.blockshape, inside, strict=True)]

@@ -23,14 +23,26 @@ def chunk_sizes(chunks: DataFrame, raw: Column, stored: Column) -> DataFrame:
     return chunks.groupBy("nchunk").agg(F.sum(raw).cast("long").alias("nbytes"), F.sum(stored).cast("long").alias("cbytes"))
 
 
+#: Chunks whose last values one task puts in order.
+_RUN = 4096
+
+
+def _last_before(edges: DataFrame) -> DataFrame:
+    """(nchunk, _last) from one row (nchunk, last) for each chunk there is: the last value of the chunk before it, however far.
+    In runs of ``_RUN`` chunk numbers, and then over the runs, so that no task sees more than a run's chunks or all runs."""
+    e = edges.withColumn("_run", F.floor(F.col("nchunk") / _RUN))
+    runs = e.groupBy("_run").agg(F.max_by("last", "nchunk").alias("_end"))
+    runs = runs.select("_run", F.lag("_end").over(Window.orderBy("_run")).alias("_end"))
+    inside = F.lag("last").over(Window.partitionBy("_run").orderBy("nchunk"))
+    return e.join(runs, "_run").select("nchunk", F.coalesce(inside, "_end").alias("_last"))
+
+
 def sign_changes(table: DataFrame, order: str, value: Column) -> DataFrame:
-    """Rows after which the sign changes inside a chunk: (nchunk, order, before, value). Chunks are scanned independently;
-    a change between two chunks is found from each chunk's last value, one row a chunk."""
+    """Rows after which the sign changes: (nchunk, order, before, value). Chunks are scanned independently; a change between a
+    chunk and the one before it, which may be several numbers lower, is found from their border values, one row a chunk."""
     w = Window.partitionBy("nchunk").orderBy(order)
     t = table.select("nchunk", order, value.alias("value"))
-    edges = t.groupBy("nchunk").agg(F.max_by("value", order).alias("_last"))
-    edges = edges.select((F.col("nchunk") + 1).alias("nchunk"), "_last")
-    before = F.lag("value").over(w)
-    t = t.join(edges, "nchunk", "left").withColumn("before", before)
+    edges = _last_before(t.groupBy("nchunk").agg(F.max_by("value", order).alias("last")))
+    t = t.withColumn("before", F.lag("value").over(w)).join(edges, "nchunk", "left")
     t = t.withColumn("before", F.coalesce("before", "_last"))
     return t.where("before * value < 0").select("nchunk", order, "before", "value")

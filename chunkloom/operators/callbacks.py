@@ -30,13 +30,14 @@ def map_cells(array: ChunkedArray, function: Callable[..., Column], dtype: str |
 
 
 def combine(arrays: list[ChunkedArray], function: Callable[..., Column]) -> ChunkedArray:
-    """A new value from the values of several arrays of one shape, cell by cell (joined on the coordinates)."""
+    """A new value from the values of several arrays of one shape, cell by cell (joined on the coordinates). A cell that an array
+    does not store is null there."""
     first = arrays[0]
     if any(a.spec.shape != first.spec.shape for a in arrays):
         raise InvalidParam("arrays of different shape")
     df = first.cells().withColumnRenamed("value", "v0")
     for k, a in enumerate(arrays[1:], 1):
-        df = df.join(a.cells().withColumnRenamed("value", f"v{k}"), first.dims)
+        df = df.join(a.cells().withColumnRenamed("value", f"v{k}"), first.dims, "full")
     value = function(*(F.col(f"v{k}") for k in range(len(arrays))))
     return first.with_cells(df.select(*first.dims, value.alias("value")), None, True)
 

@@ -5,16 +5,18 @@ Regions depend on the tables' sizes: rows [n/4, n - n/4) of the embeddings matri
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..array import ChunkedArray
 from ..functions import bits, geometry
-from ..operators import aggregate, callbacks, chunks, filters, mutate, select
-from ..sources import codecs, store
+from ..operators import aggregate, blocks, callbacks, chunks, filters, mutate, select
+from ..sources import codecs, datasource, frames, store
 from ..spec import ArraySpec
 from ..streaming import growth
 from .tables import event_chunks, events, embeddings, table
@@ -47,8 +49,7 @@ def _doubles(df: DataFrame, *columns: str) -> DataFrame:
 
 def _shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chunkloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{config.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Creation and addresses
@@ -543,3 +544,134 @@ def metalayers(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.set_layer(spark, path, "notes", b"longer", "vl", update=True)
     newest = store.history(spark, path).orderBy(F.desc("version")).limit(1).select(F.explode("layers").alias("x"))
     return newest.select("x.name", "x.kind", F.lower(F.hex("x.content")).alias("content"))
+
+
+@query(f"WITH {_CELLS}, {_SHAPE} SELECT d0, d1, value FROM cells, s WHERE d0 < n // 2 AND d1 < 30")
+def store_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store shrunk in both dimensions."""
+    path = _shared_folder(spark, "shrunk")
+    a = embeddings(spark, sf_dir)
+    store.save(a, path)
+    store.shrink(spark, path, (a.spec.shape[0] // 2, 30))
+    return _doubles(store.open_array(spark, path).cells())
+
+
+@query(f"""WITH {_CELLS}, {_SHAPE}, grown AS (SELECT d0, d1, value FROM cells UNION ALL SELECT d0, d1 + w, value FROM cells, s)
+ SELECT d0 - n // 4 AS d0, d1 - 50 AS d1, value FROM grown, s WHERE d0 >= n // 4 AND d0 < n - n // 4 AND d1 >= 50 AND d1 < 90""")
+def store_grown_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice over both parts of a store that has grown along its second dimension; each part is pruned by its own chunks."""
+    path = _shared_folder(spark, "grown")
+    a = embeddings(spark, sf_dir)
+    store.save(a, path)
+    store.append_cells(spark, path, a, 1)
+    n = a.spec.shape[0]
+    return _doubles(select.get_slice(store.open_array(spark, path), (n // 4, 50), (n - n // 4, 90)).cells())
+
+
+@query("SELECT (i + 1)::BIGINT AS d0, (i * i)::BIGINT AS value FROM range(40) t(i)")
+def store_second_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another array in the same store, read after the store was renamed."""
+    path = _shared_folder(spark, "two")
+    store.save(ChunkedArray.zeros(spark, ArraySpec((10,), (5,), (5,), "i4")), path)
+    squares = ChunkedArray.from_flat(spark.range(40), ArraySpec((40,), (9,), (4,), "i8"), F.col("id"), F.col("id") * F.col("id"))
+    store.save_append(squares, path, "squares")
+    store.rename(spark, path, path + "-new")
+    return store.open_array(spark, path + "-new", "squares").cells().withColumn("d0", F.col("d0") + 1)
+
+
+@query("SELECT 'names' AS what, 'b,c' AS value UNION ALL SELECT 'has_a', 'true' UNION ALL SELECT 'has_gone', 'false' UNION ALL SELECT 'a', '7979'")
+def layer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, presence and content of metadata layers."""
+    path = _shared_folder(spark, "lookup")
+    store.save(ChunkedArray.zeros(spark, ArraySpec((10,), (5,), (5,), "i4")), path)
+    for name, kind in (("a", "fixed"), ("b", "vl"), ("c", "vl"), ("gone", "vl")):
+        store.set_layer(spark, path, name, b"yy", kind)
+    store.delete_layer(spark, path, "gone")
+    rows = [("names", ",".join(store.layer_names(spark, path))), ("has_a", str(store.has_layer(spark, path, "a")).lower()), ("has_gone", str(store.has_layer(spark, path, "gone", "vl")).lower()), ("a", store.get_layer(spark, path, "a").hex())]
+    return spark.createDataFrame(rows, "what string, value string")
+
+
+@query(f"WITH {_CELLS} SELECT d0, d1, value FROM cells")
+def buffer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array as one buffer and back."""
+    return _doubles(frames.from_buffer(spark, frames.to_buffer(embeddings(spark, sf_dir))).cells())
+
+
+def _through_blocks(spark: SparkSession, sf_dir: str, codec: str, *names: str) -> DataFrame:
+    a, options = embeddings(spark, sf_dir), config.WriteOptions(codec, filters=names)
+    return _doubles(blocks.decode(blocks.encode(a, options), a, options).cells())
+
+
+@query(f"WITH {_CELLS} SELECT d0, d1, value FROM cells")
+def block_shuffle_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks through byte shuffle, byte delta and zstd, and back."""
+    return _through_blocks(spark, sf_dir, "zstd", "shuffle", "bytedelta")
+
+
+@query(f"WITH {_CELLS} SELECT d0, d1, value FROM cells")
+def block_bitshuffle_zlib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_blocks(spark, sf_dir, "zlib", "bitshuffle")
+
+
+@query(f"WITH {_CELLS} SELECT d0, d1, value FROM cells")
+def block_delta_lz4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_blocks(spark, sf_dir, "lz4", "delta", "shuffle")
+
+
+@query(f"WITH {_CELLS}, {_ADDRESS} SELECT d0, d1, value FROM a WHERE nblock NOT IN (0, 4)")
+def block_masked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded blocks read but for masked ones."""
+    a, options = embeddings(spark, sf_dir), config.WriteOptions("zstd")
+    return _doubles(blocks.decode(blocks.encode(a, options), a, options, config.ReadOptions(masked_blocks=(0, 4))).cells())
+
+
+def _event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.vl_blocks(table(spark, sf_dir, "events"), F.expr("event_id div 1000"), F.col("event_id"), F.col("value")).withColumnRenamed("blocks", "values")
+
+
+@query("SELECT event_id // 1000 AS nchunk, 'zlib' AS codec, count(*)::BIGINT AS nitems, (count(*) * 8)::BIGINT AS nbytes, true AS is_valid FROM events GROUP BY 1")
+def payload_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of encoded chunks say, without decoding."""
+    found = codecs.payload_info(codecs.encode_chunks(_event_values(spark, sf_dir), "f8", "zlib"), "f8")
+    return found.select("nchunk", "codec", F.col("nitems").cast("long").alias("nitems"), F.col("nbytes").cast("long").alias("nbytes"), "is_valid")
+
+
+@query("SELECT event_id // 1000 AS nchunk, event_id % 1000 AS i, value FROM events")
+def user_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks through a codec of the caller's."""
+    if 201 not in codecs.registered():
+        turned = bytes(255 - i for i in range(256))
+        codecs.register(codecs.Codec(201, "turned", lambda raw, level: zlib.compress(raw.translate(turned), level), lambda raw: zlib.decompress(raw).translate(turned)))
+    back = codecs.decode_chunks(codecs.encode_chunks(_event_values(spark, sf_dir), "f8", "turned"), "f8", "double")
+    return back.select("nchunk", F.posexplode("values").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
+
+
+class Counting(datasource.Backend):
+    """A source that makes its bytes: at byte 8 i of a path stands the whole number i plus the path's number."""
+
+    def size(self, path: str) -> int:
+        return 1 << 62
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        return b"\0" + np.arange(offset // 8, (offset + length) // 8, dtype="<i8").__add__(int(path)).tobytes()
+
+
+@query("SELECT (i // 100)::BIGINT AS nchunk, (i % 100)::BIGINT AS i, (9007199254740993 + i)::BIGINT AS value FROM range(1000) t(i)")
+def user_io_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks read through a backend of the caller's, with whole numbers beyond what doubles can hold."""
+    if "counting" not in datasource.backends():
+        datasource.register_io("counting", Counting())
+    return datasource.read_chunks(spark, "9007199254740993", [(800 * n, 800, 100, "none") for n in range(10)], "i8", "counting")
+
+
+@query("SELECT event_id AS d0, CASE WHEN event_id BETWEEN 7 AND 9 THEN -(event_id - 6)::DOUBLE ELSE value END AS value FROM events")
+def flat_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three items of a vector overwritten from a buffer."""
+    return mutate.flat_patch(events(spark, sf_dir), 7, [-1.0, -2.0, -3.0]).cells()
+
+
+@query("SELECT c_custkey, substr(hex(encode(c_name)), 3, 8) AS bytes FROM customer")
+def get_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of payloads, by items of one byte."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("payload"))
+    return select.get_bytes(df, "payload", 1, 4, 1).select("c_custkey", F.hex("bytes").alias("bytes"))

@@ -9,19 +9,17 @@ from hypothesis import strategies as st
 from chunkloom.errors import InvalidIndex, InvalidParam
 from chunkloom.spec import ArraySpec
 
-MATRIX = [
-    ((40, 40), (20, 20), (10, 10)),
-    ((40, 55, 23), (31, 5, 22), (4, 4, 4)),
-    ((40, 0, 12), (31, 0, 12), (10, 0, 12)),
-    ((50, 60, 31, 12), (25, 20, 20, 10), (5, 5, 5, 10)),
-    ((1, 1, 1024, 1, 1), (1, 1, 500, 1, 1), (1, 1, 200, 1, 1)),
-    ((5, 1, 50, 3, 1, 2), (5, 1, 50, 2, 1, 2), (2, 1, 20, 2, 1, 2)),
-    ((2, 3, 1, 1, 1, 1, 8, 1, 2, 2, 1, 1, 1, 1, 1, 2), (1, 2, 1, 1, 1, 1, 2, 1, 2, 1, 1, 1, 1, 1, 1, 1), (1,) * 16),
-]
+@st.composite
+def geometries(draw):
+    """Shape, chunk and block of up to five dimensions; lengths of zero, and chunks longer than the shape, too."""
+    dims = draw(st.lists(st.tuples(st.integers(0, 37), st.integers(1, 23), st.integers(1, 11)), min_size=1, max_size=5))
+    return tuple(n for n, _, _ in dims), tuple(c for _, c, _ in dims), tuple(min(b, c) for _, c, b in dims)
 
 
-@pytest.mark.parametrize("shape, chunk, block", MATRIX)
-def test_geometry(shape, chunk, block):
+@settings(max_examples=120, deadline=None)
+@given(geometries())
+def test_geometry(drawn):
+    shape, chunk, block = drawn
     s = ArraySpec(shape, chunk, block)
     assert s.nitems == math.prod(shape)
     assert all(e >= n and (not c or e % c == 0) for e, n, c in zip(s.extshape, shape, chunk))
