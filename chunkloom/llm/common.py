@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,9 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the files of shuffles that no plan refers to; Spark removes them when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the files of shuffles that no plan refers to; Spark removes them when the driver collects its garbage. What holds
+    them is itself let go of by a first collection, so there are two."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
