@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 
-#: The schema of the call that a user turn stands for: something to answer, of up to a thousand characters.
+#: The schema of the call that a user turn stands for: something to answer, of up to 300 characters.
 RESPOND = {
     "respond": {
-        "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 1000}, "length": {"type": "integer", "minimum": 0}},
+        "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 300}, "length": {"type": "integer", "minimum": 0}},
         "required": ["length", "text"],
         "additionalProperties": False,
     }
@@ -158,7 +158,7 @@ SELECT t.conv_id, t.event_id,
        r.level::bigint AS level,
        CASE t.role WHEN 'user' THEN EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = t.conv_id AND a.turn = t.turn + 1 AND a.role = 'assistant')
                    WHEN 'assistant' THEN EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 1 AND a.role = 'user') END AS linked,
-       CASE t.role WHEN 'user' THEN coalesce(length(t.text) BETWEEN 1 AND 1000, false) END AS valid,
+       CASE t.role WHEN 'user' THEN coalesce(length(t.text) BETWEEN 1 AND 300, false) END AS valid,
        CASE t.role WHEN 'user' THEN json_object('arguments', json_object('length', length(t.text), 'text', t.text), 'call_id', t.event_id, 'name', 'respond', 'type', 'call')
                    WHEN 'assistant' THEN json_object('call_id', t.before_id, 'content', t.text, 'type', 'result')
                    ELSE json_object('content', t.text, 'role', t.role, 'type', 'message') END::varchar AS json
