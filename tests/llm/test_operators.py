@@ -409,6 +409,65 @@ def test_every_exact_run_is_found(spark):
         assert all(w - 1 in hit[i] or w + 1 in hit[i] for w in want[i] - hit[i]) and len(want[i] - hit[i]) <= 2, i
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_passage_whose_pieces_later_documents_hold(spark, monkeypatch, chunk):
+    """A passage is found though each of its seeds stands in a nearer document that has too short a piece of it."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(47)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS[:9]]
+    body = lambda k: [rng.choice(words) for _ in range(k)]
+    shared = body(60)
+    texts = {1: body(40) + shared + body(30)} | {i: body(25) + shared[a : a + 45] + body(25) for i, a in ((2, 0), (3, 8), (4, 15))}
+    texts[5] = body(35) + shared + body(45)
+    docs = frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])
+    found = substrings.passages(docs).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in found} == {(5, 1)}
+    assert set(range(35, 95)) <= {w for r in found for w in range(r["start_word"], r["end_word"])}
+
+
+def test_no_link_is_lost(spark):
+    """Against alignments at every seed of every two documents: edited copies of blocks whose lines many documents hold."""
+    rng = random.Random(48)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS[:9]]
+    body = lambda k: [rng.choice(words) for _ in range(k)]
+    lines = [body(rng.randrange(8, 30)) for _ in range(12)]
+    blocks = [[w for k in rng.sample(range(12), 4) for w in lines[k]] for _ in range(6)]
+    texts = {}
+    for i in range(70):
+        texts[i] = body(rng.randrange(40))
+        for _ in range(rng.randrange(1, 4)):
+            texts[i] += edited(rng, rng.choice(blocks if rng.random() < 0.3 else lines), 0.08, 0) + body(rng.randrange(30))
+    texts[70], texts[71] = ["the"] * 300 + body(30), body(30) + ["the"] * 200 + body(20)
+    at = {}
+    for i, t in texts.items():
+        hashes = substrings.word_hashes(" ".join(t))
+        key, _, pos = substrings.seeds(hashes, np.array([len(t)]))
+        at[i] = hashes, list(zip(key.tolist(), pos.tolist()))
+    want: dict[int, set] = {i: set() for i in texts}
+    for i, (a, mine) in at.items():
+        for j in range(i):
+            b, theirs = at[j]
+            places: dict[int, list[int]] = {}
+            for k, q in theirs:
+                places.setdefault(k, []).append(q)
+            for k, p in mine:
+                for q in places.get(k, ()) if i < 70 else ():
+                    x, y = max(0, p - substrings.MARGIN), max(0, q - substrings.MARGIN)
+                    end = substrings.LONG + substrings.MARGIN
+                    for s, e, *_ in substrings.align(a[x : p + end], b[y : q + end], [(p - x, q - y)]):
+                        want[i].update(range(x + s, x + e))
+    want[71] = set(range(30, 230))
+    hit: dict[int, set] = {i: set() for i in texts}
+    for r in substrings.passages(frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])).collect():
+        hit[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert sum(map(len, want.values())) > 1000
+    # No stretch that holds a seed is left out; single words at the border of a passage depend on whom it is aligned with.
+    for i in texts:
+        left = sorted(want[i] - hit[i])
+        runs = np.split(np.array(left), np.nonzero(np.diff(left) > 1)[0] + 1) if left else []
+        assert all(len(x) < 8 for x in runs), (i, left)
+
+
 def test_remove_passages_with_columns_of_its_own_names(spark):
     rng = random.Random(46)
     shared = prose(rng, 60)
