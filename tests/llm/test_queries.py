@@ -117,3 +117,14 @@ def test_pipeline(spark, tables):
     assert {r["doc_id"] for r in by["mixing"]} <= set(cut)
     assert sorted(r["n_tokens"] for r in by["bpe"]) and len(by["bpe"]) == len(by["mixing"])
     assert corpus_pipeline.run(spark, folder).count() == len(by["bpe"])
+
+
+def test_repeated_passage_whose_pieces_stand_nearer(spark):
+    """An edited copy is cut, though each run of equal words in it stands in a nearer document that has a piece of the passage only."""
+    body = lambda name, n: [f"{name}{i}" for i in range(n)]
+    shared = body("s", 60)
+    texts = {1: body("a", 40) + shared} | {i: body(f"p{i}q", 30) + shared[a:b] + body(f"r{i}q", 30) for i, a, b in ((2, 0, 25), (3, 18, 43), (4, 36, 60))}
+    texts[5] = body("e", 35) + [f"new{i}" if i in (20, 40) else w for i, w in enumerate(shared)] + body("f", 45)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert left == texts | {5: texts[5][:35] + texts[5][95:]}
