@@ -425,6 +425,29 @@ def test_passage_whose_pieces_later_documents_hold(spark, monkeypatch, chunk):
     assert set(range(35, 95)) <= {w for r in found for w in range(r["start_word"], r["end_word"])}
 
 
+def test_passage_with_one_seed_outside_a_nearer_piece(spark):
+    """The end of a passage is found though its one seed there stands in one earlier document only, and a nearer one holds the beginning."""
+    rng = random.Random(52)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    body = lambda k: [rng.choice(words) for _ in range(k)]
+
+    def seeds_of(t):
+        return set(substrings.seeds(substrings.word_hashes(" ".join(t)), np.array([len(t)]))[0].tolist())
+
+    # An older copy with edits, that has one seed in common with the end of the passage, which the nearer document lacks.
+    while True:
+        shared = body(80)
+        older = [f"old{i}" if i in (59, 64, 69, 74) else w for i, w in enumerate(shared)]
+        if len(seeds_of(shared[55:]) & seeds_of(older[55:])) == 1 and not seeds_of(shared[52:59]) & seeds_of(older[52:59]):
+            break
+    texts = {1: body(30) + older + body(30), 2: body(25) + shared[:55] + body(25), 3: body(35) + shared + body(40)}
+    hit: set[int] = set()
+    for r in substrings.passages(frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])).collect():
+        if r["doc_id"] == 3:
+            hit.update(range(r["start_word"], r["end_word"]))
+    assert set(range(35, 115)) <= hit <= set(range(34, 116))
+
+
 def test_no_link_is_lost(spark):
     """Against alignments at every seed of every two documents: edited copies of blocks whose lines many documents hold."""
     rng = random.Random(48)
