@@ -334,6 +334,18 @@ def test_pack():
     assert all((x.astype(np.int64) == y).all() for x, y in zip(columns, got))
 
 
+def test_buckets_of_many_tasks(spark):
+    """Each task writes a blob for each bucket: no more buckets than tasks where these are many, several a task where they are few."""
+    docs = frame(spark, [(1, "a b c", "en", "s")])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks, buckets in ((1, 4), (6, 24), (32, 64), (211, 211)):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            assert substrings._buckets(docs) == buckets
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_partners_are_those_of_brute_force():
     rng = random.Random(44)
     for _ in range(50):
