@@ -421,6 +421,23 @@ def test_every_exact_run_is_found(spark):
         assert all(w - 1 in hit[i] or w + 1 in hit[i] for w in want[i] - hit[i]) and len(want[i] - hit[i]) <= 2, i
 
 
+def test_matched_words_are_those_of_common_words():
+    rng = np.random.default_rng(54)
+    x, y = rng.integers(0, 9, (40, 64)).astype(np.uint16), rng.integers(0, 12, (40, 64)).astype(np.uint16)
+    x[:9], there = y[:9], rng.integers(0, 65, 40)
+    got = substrings._matched(x, y, there)
+    for a, b, n, counts in zip(x.tolist(), y.tolist(), there.tolist(), got.tolist()):
+        assert counts == [len(substrings.common_words(a[: t + 1], b[:n])) for t in range(64)]
+
+
+def test_seeds_are_the_smallest_of_their_windows():
+    rng = np.random.default_rng(55)
+    for n, width in ((1, 1), (14, 14), (200, 14), (60, 5)):
+        h = rng.integers(0, 50, n).astype(np.uint64)
+        for of, plain in ((np.minimum, min), (np.maximum, max)):
+            assert substrings._sliding(of, h, width).tolist() == [plain(h[i : i + width].tolist()) for i in range(n - width + 1)]
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 64])
 def test_passage_whose_pieces_later_documents_hold(spark, monkeypatch, chunk):
     """A passage is found though each of its seeds stands in a nearer document that has too short a piece of it."""
