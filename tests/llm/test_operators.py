@@ -438,6 +438,32 @@ def test_seeds_are_the_smallest_of_their_windows():
             assert substrings._sliding(of, h, width).tolist() == [plain(h[i : i + width].tolist()) for i in range(n - width + 1)]
 
 
+def contexts_of(changes):
+    """One key in one document each, at the start of texts of 64 words; ``changes`` are the places behind the seed whose word is the document's own."""
+    n = len(changes)
+    context = np.zeros((n, 2 * substrings.MARGIN), np.uint16)
+    context[:, substrings.MARGIN : substrings.MARGIN + 60] = np.arange(1, 61)
+    for i, (own, places) in enumerate(changes):
+        context[i, [substrings.MARGIN + p for p in places]] = [own * 60 + 100 + p for p in places]
+    return np.full(n, 8), np.arange(n), np.ones(n, np.int64), context, np.zeros(n, np.int64), np.full(n, 60)
+
+
+def test_pairs_too_unlike_for_a_passage_are_not_linked():
+    """Two texts alike in two of three words hold together loosely, but have no 50 words of which 0.8 are alike."""
+    loosely, closely = [p for p in range(60) if p % 6 > 3], [p for p in range(60) if p % 10 == 5]
+    later, earlier = substrings.candidates(*contexts_of([(0, []), (1, loosely), (2, closely)]))
+    assert list(zip(later.tolist(), earlier.tolist())) == [(2, 0)]
+
+
+def test_copies_around_a_seed_are_compared_once(monkeypatch):
+    """Of 20 copies of one text and 20 of another all pairs are linked, but their words are compared once each way."""
+    compared, plain = [], substrings._long_enough
+    monkeypatch.setattr(substrings, "_long_enough", lambda *x: compared.append(len(x[-1])) or plain(*x))
+    later, earlier = substrings.candidates(*contexts_of([(i % 2, [5, 15] if i % 2 else [25]) for i in range(40)]))
+    assert {(i, j) for i in range(40) for j in range(i) if (i + j) % 2} <= set(zip(later.tolist(), earlier.tolist()))
+    assert 0 < sum(compared) <= 4
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 64])
 def test_passage_whose_pieces_later_documents_hold(spark, monkeypatch, chunk):
     """A passage is found though each of its seeds stands in a nearer document that has too short a piece of it."""
