@@ -249,6 +249,36 @@ def test_chains_are_best():
             assert max(map(score, got)) == pytest.approx(best)
 
 
+def test_common_words_by_the_shorter_ways(monkeypatch):
+    """Texts that lie in each other or begin alike are aligned as by all rows, with fewer or none of these; runs without gaps are not gone through."""
+    rng, lengths, plain = np.random.default_rng(5), [], substrings._rows_back
+    monkeypatch.setattr(substrings, "_rows_back", lambda a, b: lengths.append(len(a)) or plain(a, b))
+    for n in range(400):
+        a = rng.integers(0, 2 + n % 9, rng.integers(1, 25)).tolist()
+        b = rng.integers(0, 2 + n % 9, rng.integers(1, 25)).tolist()
+        for x, y in ((a, b), (b, a), (a, a[::2] or a), (a[3:] or a, b[:5] + a), (a + b, a + b[::-1])):
+            assert substrings._subsequence(x, y) == plain(x, y)
+    lengths.clear()
+    words = list(range(60))
+    assert substrings._subsequence(words, [7, *words, 8]) == [(i, i + 1) for i in words] and not lengths
+    assert len(substrings._subsequence(words + [70, 71], words + [71, 70, 72])) == 61 and lengths == [2]
+    reads = []
+
+    class Counted(list):
+        def __getitem__(self, i):
+            reads.append(i)
+            return super().__getitem__(i)
+
+    assert list(substrings._runs(Counted((i, i + 3) for i in range(1000)), 0, 1000, 2.0)) == [(0, 999)] and len(reads) < 10
+
+
+def test_texts_are_dealt_once_for_the_rest(spark):
+    texts = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    rest = spark.createDataFrame([(1, 2, 0, 1, 1)], "doc long, key long, pos int, open int, parts int")
+    plan = substrings._rest_links(texts, rest, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 2
+
+
 def test_passages(spark, odd, empty):
     rng = random.Random(11)
     shared, other = prose(rng, 70).split(), prose(rng, 200).split()
