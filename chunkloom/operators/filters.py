@@ -76,10 +76,11 @@ def bit_shuffle(table: DataFrame, itemsize: int) -> DataFrame:
 
 
 def bit_unshuffle(planes: DataFrame, itemsize: int) -> DataFrame:
-    spread = planes.where("bit >= 0").select("nchunk", "nblock", "bit", "byte_no", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    bit = bits.bit_of(F.col("byte"), F.col("k"))
-    placed = F.call_function("shiftleft", bit, F.col("bit").cast("int"))
-    t = spread.groupBy("nchunk", "nblock", (F.col("byte_no") * 8 + F.col("k")).alias("i")).agg(F.bit_or(placed).alias("value"))
+    # The eight values of a byte are put together side by side, and become rows after that.
+    placed = [F.bit_or(F.call_function("shiftleft", bits.bit_of(F.col("byte"), k), F.col("bit").cast("int"))).alias(f"_v{k}") for k in range(8)]
+    eights = planes.where("bit >= 0").groupBy("nchunk", "nblock", "byte_no").agg(*placed)
+    spread = eights.select("nchunk", "nblock", "byte_no", F.posexplode(F.array(*(f"_v{k}" for k in range(8)))).alias("k", "value"))
+    t = spread.select("nchunk", "nblock", (F.col("byte_no") * 8 + F.col("k")).alias("i"), "value")
     if itemsize < 8:
         gap = 64 - 8 * itemsize
         t = t.withColumn("value", F.shiftright(F.shiftleft("value", gap), gap))
