@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,9 +69,13 @@ def bit_shuffle(table: DataFrame, itemsize: int) -> DataFrame:
     left out of the transposition and come as they are, in rows with bit -1, ``byte_no`` being their place."""
     size = F.max("i").over(Window.partitionBy("nchunk", "nblock")) + 1
     t = table.repartition("nchunk").withColumn("_whole", size - size % 8)
-    planes = t.where("i < _whole").select("nchunk", "nblock", "i", "value", F.explode(F.sequence(F.lit(0), F.lit(8 * itemsize - 1))).alias("bit"))
-    placed = F.call_function("shiftleft", bits.bit_of(F.col("value"), F.col("bit")), (F.col("i") % 8).cast("int"))
-    packed = planes.groupBy("nchunk", "nblock", F.col("bit").cast("long").alias("bit"), F.shiftright("i", 3).alias("byte_no")).agg(F.bit_or(placed).alias("byte"))
+    # Eight planes to a whole number, one byte each: neighbours are put together before their bytes become rows, so that a task
+    # holds itemsize numbers for eight values and not a row for each of their bytes.
+    spread = [reduce(Column.bitwiseOR, (F.call_function("shiftleft", bits.bit_of(F.col("value"), 8 * k + j), F.lit(8 * j)) for j in range(8))) for k in range(itemsize)]
+    placed = [F.bit_or(F.call_function("shiftleft", x, (F.col("i") % 8).cast("int"))).alias(f"_p{k}") for k, x in enumerate(spread)]
+    eights = t.where("i < _whole").groupBy("nchunk", "nblock", F.shiftright("i", 3).alias("byte_no")).agg(*placed)
+    byte = F.array(*(F.struct(F.lit(8 * k + j).cast("long").alias("bit"), bits.byte_of(F.col(f"_p{k}"), j).alias("byte")) for k in range(itemsize) for j in range(8)))
+    packed = eights.select("nchunk", "nblock", "byte_no", F.explode(byte).alias("b")).select("nchunk", "nblock", "b.bit", "byte_no", "b.byte")
     rest = t.where("i >= _whole").select("nchunk", "nblock", F.lit(-1).cast("long").alias("bit"), F.col("i").alias("byte_no"), F.col("value").alias("byte"))
     return packed.unionByName(rest)
 
