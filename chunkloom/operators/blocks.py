@@ -21,6 +21,8 @@ from ..functions.bits import FRACTION
 from ..sources import codecs
 from ..spec import ITEM_BYTES, SPARK_TYPES
 
+#: Blocks of an Arrow batch that are taken through Python at once.
+_ROWS = 256
 _ENCODED = "nchunk long, nblock long, nitems long, offsets binary, payload binary"
 
 
@@ -94,8 +96,9 @@ def _chosen(names: tuple[str, ...]) -> list:
 def _mapped(function: Callable[..., tuple], ddl: str, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [function(*row) for row in zip(*b.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+            for at in range(0, b.num_rows, _ROWS):
+                rows = [function(*row) for row in zip(*b.slice(at, _ROWS).columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +69,13 @@ def test_combine_with_cells_that_are_not_stored(spark):
     b = ChunkedArray(a.df.where("d0 < 3"), s)
     both = callbacks.combine([a, b], lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(100)))
     assert both.to_rows() == [0, 2, 4, 103]
+
+
+def test_blocks_go_through_python_a_few_at_a_time():
+    """However many rows an Arrow batch has."""
+    schema = pa.schema([("n", pa.int64()), ("values", pa.list_(pa.int64()))])
+    run = blocks._mapped(lambda n, values: (n.as_py(), values.as_py()), "n long, values array<long>", schema)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k)), pa.array([[i, -i] for i in range(k)], pa.list_(pa.int64()))], schema=schema) for k in (0, 1, 5000)]
+    out = list(run(iter(batches)))
+    assert max(b.num_rows for b in out) <= 256
+    assert pa.Table.from_batches(out, schema).equals(pa.Table.from_batches(batches, schema))
