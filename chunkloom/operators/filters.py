@@ -68,7 +68,9 @@ def bit_shuffle(table: DataFrame, itemsize: int) -> DataFrame:
     """(nchunk, nblock, bit, byte_no, byte): bit ``bit`` of eight neighbours as one byte. Values beyond a multiple of eight are
     left out of the transposition and come as they are, in rows with bit -1, ``byte_no`` being their place."""
     size = F.max("i").over(Window.partitionBy("nchunk", "nblock")) + 1
-    t = table.repartition("nchunk").withColumn("_whole", size - size % 8)
+    # As many tasks as there are: a number given stays as it is, where few bytes would else be dealt to one task, and eight rows come of a value.
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = table.repartition(tasks, "nchunk").withColumn("_whole", size - size % 8)
     # Eight planes to a whole number, one byte each: neighbours are put together before their bytes become rows, so that a task
     # holds itemsize numbers for eight values and not a row for each of their bytes.
     spread = [reduce(Column.bitwiseOR, (F.call_function("shiftleft", bits.bit_of(F.col("value"), 8 * k + j), F.lit(8 * j)) for j in range(8))) for k in range(itemsize)]

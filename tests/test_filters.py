@@ -169,3 +169,12 @@ def test_bits_are_put_together_before_they_become_rows(spark):
     assert {tuple(r)[:4]: r["byte"] for r in coded.collect()} == want and coded.count() == len(want)
     held = {(r["nchunk"], r["nblock"], r["i"]): r["value"] for r in back.collect()}
     assert all(held[c, b, i] == v for c, b, i, v in rows if v is not None and (c, b, i) != (0, 0, 5)) and held[0, 0, 3] == 0
+
+
+def test_bits_are_dealt_over_all_tasks(spark):
+    """Few bytes of values are many rows of bytes; they don't go to one task."""
+    table = spark.range(5000).select(F.expr("id div 100 AS nchunk"), F.lit(0).cast("long").alias("nblock"), F.expr("id % 100 AS i"), F.col("id").alias("value"))
+    plan = filters.bit_shuffle(table, 8)._jdf.queryExecution().optimizedPlan().toString()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = [x.rpartition(" ")[2] for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert dealt and set(dealt) == {tasks}
